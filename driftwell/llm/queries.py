@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import byte_bpe, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +20,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    import public_tokenizers as public
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.encoded(docs, vocabulary or public.path("byte_bpe_50k.tiktoken"), public.PATTERN, keep_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
+    "op8_byte_bpe": op8_byte_bpe,
 }
 
 _STOP = ", ".join(f"'{x}'" for x in sorted({x for w in quality_rules.STOP_WORDS for x in (w, w.capitalize())}))
