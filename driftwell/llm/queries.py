@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, quality_rules
+from . import byte_bpe, quality_rules, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +28,22 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     return byte_bpe.encoded(docs, vocabulary or public.path("byte_bpe_50k.tiktoken"), public.PATTERN, keep_ids=False)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = simhash.near_duplicates(docs)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
+    "op2_simhash": op2_simhash,
+    "op3_substrings": op3_substrings,
 }
 
 _STOP = ", ".join(f"'{x}'" for x in sorted({x for w in quality_rules.STOP_WORDS for x in (w, w.capitalize())}))
