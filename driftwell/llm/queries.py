@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, lm, quality_rules, simhash, substrings
+from . import byte_bpe, language_id, lm, quality_model, quality_rules, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,12 +43,28 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.fit(docs.filter(~quality_model.held_out()), _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    out = quality_model.scored(docs, model)
+    return out.select("doc_id", quality_model.held_out().alias("held_out"), "score", "predicted")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.filter(~language_id.held_out()))
+    out = language_id.predicted(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
     "op2_simhash": op2_simhash,
     "op3_substrings": op3_substrings,
     "op10_lm_scores": op10_lm_scores,
+    "op4_quality_model": op4_quality_model,
+    "op7_language_id": op7_language_id,
 }
 
 _STOP = ", ".join(f"'{x}'" for x in sorted({x for w in quality_rules.STOP_WORDS for x in (w, w.capitalize())}))
