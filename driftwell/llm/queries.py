@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, lm, quality_model, quality_rules, simhash, substrings
+from . import byte_bpe, language_id, lm, packing, pii, quality_model, quality_rules, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymised(docs, pii.session_key(docs))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
@@ -65,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scores": op10_lm_scores,
     "op4_quality_model": op4_quality_model,
     "op7_language_id": op7_language_id,
+    "op1_pii": op1_pii,
+    "op9_packing": op9_packing,
 }
 
 _STOP = ", ".join(f"'{x}'" for x in sorted({x for w in quality_rules.STOP_WORDS for x in (w, w.capitalize())}))
