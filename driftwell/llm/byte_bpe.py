@@ -6,7 +6,8 @@ bucket in use by find-first-set.  Entries that no longer describe a live pair ar
 skipped when they come up.  A merge costs a bounded number of steps (and a heap push
 within its bucket), so a pre-token of n bytes costs O(n log n), never O(n^2).
 
-Short pre-tokens repeat; a bounded cache keeps their ids.  The vocabulary file's path is a
+Pre-tokens of at most ``SHORT`` bytes, most of any text, have too few pairs for a queue to pay: there a scan
+finds the lowest rank.  They repeat, and a bounded cache keeps their ids.  The vocabulary file's path is a
 parameter.  Ids are those of the tiktoken library without special tokens.
 
 Defined results: a null or empty text has no ids.  Repeated rows are encoded each for itself;
@@ -74,44 +75,66 @@ class RankQueue:
 class ByteBPE:
     """Encoder and decoder for one file of ranks."""
 
-    CACHE = 1 << 18
+    CACHE = 1 << 19
+    SHORT = 32
     CACHED_BYTES = 64
 
     def __init__(self, vocabulary: str, pattern: str):
         with open(vocabulary, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.bytes_of = {i: b for b, i in self.ranks.items()}
+        self.single = [self.ranks[bytes([b])] for b in range(256)]
+        # any two tokens whose bytes together are a token: the rank of the merge is its id
+        self.pair = {
+            a << 20 | b: i
+            for whole, i in self.ranks.items()
+            for k in range(1, len(whole))
+            if (a := self.ranks.get(whole[:k])) is not None and (b := self.ranks.get(whole[k:])) is not None
+        }
         self.split = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
+        if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        n = len(piece)
-        parts = [piece[i : i + 1] for i in range(n)]
+        ids = [self.single[b] for b in piece]
+        if len(ids) <= self.SHORT:
+            return self._merge_short(ids)
+        pair, n = self.pair, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = RankQueue()
         for i in range(n - 1):
-            if (r := ranks.get(piece[i : i + 2])) is not None:
+            if (r := pair.get(ids[i] << 20 | ids[i + 1])) is not None:
                 queue.push(r, i)
         while (entry := queue.pop()) is not None:
             rank, i = entry
-            left = parts[i]
             j = after[i]
-            if left is None or j >= n or ranks.get(left + parts[j]) != rank:
+            if ids[i] < 0 or j >= n or pair.get(ids[i] << 20 | ids[j]) != rank:
                 continue  # stale: one of the two has been merged away since
-            joined = left + parts[j]
-            parts[i], parts[j] = joined, None
+            ids[i], ids[j] = rank, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := ranks.get(joined + parts[k])) is not None:
+                if (r := pair.get(rank << 20 | ids[k])) is not None:
                     queue.push(r, i)
-            if (h := before[i]) >= 0 and (r := ranks.get(parts[h] + joined)) is not None:
+            if (h := before[i]) >= 0 and (r := pair.get(ids[h] << 20 | rank)) is not None:
                 queue.push(r, h)
-        return [ranks[p] for p in parts if p is not None]
+        return [x for x in ids if x >= 0]
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """The same merges where a scan for the lowest rank is cheaper than a queue: at most SHORT parts."""
+        pair, none = self.pair.get, 1 << 60
+        waiting = [pair(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while waiting and (low := min(waiting)) < none:
+            i = waiting.index(low)
+            ids[i] = low
+            del ids[i + 1], waiting[i]
+            if i < len(waiting):
+                waiting[i] = pair(low << 20 | ids[i + 1], none)
+            if i:
+                waiting[i - 1] = pair(ids[i - 1] << 20 | low, none)
+        return ids
 
     def _packed(self, piece: str) -> bytes:
         data = piece.encode("utf-8", "surrogatepass")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, lm, packing, pii, quality_model, quality_rules, simhash, substrings
+from . import byte_bpe, embeddings, language_id, lm, packing, pii, quality_model, quality_rules, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op1_pii": op1_pii,
     "op9_packing": op9_packing,
+    "op6_embeddings": op6_embeddings,
 }
 
 _STOP = ", ".join(f"'{x}'" for x in sorted({x for w in quality_rules.STOP_WORDS for x in (w, w.capitalize())}))

@@ -128,7 +128,7 @@ def _same_doc_max(keys_n: int, which: np.ndarray, ids: np.ndarray) -> np.ndarray
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the kept words joined by one space as ``text_col``, and n_words, n_removed, kept_sha256."""
+    """``docs`` with n_words, n_removed, kept_sha256; a text that lost words becomes its kept words joined by one space, others stay as they are."""
     made = ["n_words", "n_removed", "kept_sha256"]
     names = [c for c in docs.columns if c.lower() not in made]
     src = docs.select(*[F.col(sql_name(c)) for c in names])
@@ -230,7 +230,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     k = int(mask.sum())
                     n_removed.append(k)
                     kept.append(b" ".join(words if not k else [w for w, x in zip(words, mask.tolist(), strict=True) if not x]))
-                text = pa.array(kept, pa.binary()).cast(pa.string())
+                before = table.column(text_at)
+                text = pa.array([k if n else x.as_py() for k, n, x in zip(kept, n_removed, before, strict=True)], pa.binary()).cast(pa.string())
                 cols = [text if k == text_at else table.column(k).combine_chunks() for k in range(table.num_columns)]
                 out = pa.table([*cols, pa.array(c.n), pa.array(n_removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])], names=[*names, *made])
                 yield from out.to_batches()

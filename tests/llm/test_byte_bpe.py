@@ -47,6 +47,15 @@ def test_random_texts(bpe, reference):
         assert ids(bpe, text) == reference.encode_ordinary(text)
 
 
+def test_scan_and_queue_agree(bpe, monkeypatch):
+    rng = random.Random(4)
+    pieces = [bytes(rng.choice(b"abcthein 01") for _ in range(rng.randrange(2, 90))) for _ in range(400)]
+    mixed = [bpe.merge(p) for p in pieces]
+    for short in (0, 1000):
+        monkeypatch.setattr(type(bpe), "SHORT", short)
+        assert [bpe.merge(p) for p in pieces] == mixed
+
+
 def test_frame_with_nulls_repeats_and_clashing_names(spark, bpe):
     rows = [(1, "the cat", 5), (2, None, None), (2, "", 7), (None, "the cat", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
