@@ -1,4 +1,6 @@
 """The registered queries and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import checks, merges, scans, streams
+
+QUERIES: dict = {**checks.QUERIES, **merges.QUERIES, **scans.QUERIES, **streams.QUERIES}
+SQL: dict = {**checks.SQL, **merges.SQL, **scans.SQL, **streams.SQL}
