@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..meta import table_meta
-from ..operators import apply
+from ..operators import apply, check
 from ..sources import files, jdbc
 from ..sources.scan import Chunk
 from ..sources.shared import scratch
 from ..streaming import tables, unresolved
-from .fixtures import LAST_EVENTS, USER_META, event_changes, table
+from . import task
+from .fixtures import CUSTOMER_AFTER, KEYS, LAST_EVENTS, ORDERS_TARGET, USER_META, customer_changes, customer_target, event_changes, orders_target, table
 
 
 def _arriving(rows: DataFrame, order: str, at: str, parts: int = 4) -> None:
@@ -83,8 +84,53 @@ def audited_stream_view(spark, d) -> DataFrame:
     return apply.latest_view(log, USER_META).select("user_id", "value", "props")
 
 
-QUERIES = {f.__name__: f for f in (stream_apply_batches, stream_unresolved_state, stream_positions, jdbc_roundtrip, audited_stream_view)}
+_TASK = """
+[filter]
+do_tbs=main.orders,main.cust*
+ignore_cols=json:[{"db":"main","tb":"customer","ignore_cols":["c_mktsegment"]}]
+where_conditions=json:[{"db":"main","tb":"orders","condition":"o_orderkey % 2 = 0"}]
+[router]
+tb_map=main.customer:dw.clients
+col_map=json:[{"db":"main","tb":"customer","col_map":{"c_acctbal":"balance"}}]
+[checker]
+output_revise_sql=true
+"""
+
+
+def _task(spark, d):
+    read = lambda schema, name: table(spark, d, name)
+    metas = [table_meta(read("main", n), n, KEYS[n], nullable=()) for n in ("orders", "customer", "part")]
+    return task.TaskSpec.read(_TASK), read, metas
+
+
+def task_check(spark, d) -> DataFrame:
+    """Three tables, of which a task file leaves out one, renames one and takes a part of one."""
+    spec, read, metas = _task(spark, d)
+    orders, clients = orders_target(read("main", "orders")), customer_target(read("main", "customer")).withColumnRenamed("c_acctbal", "balance")
+    found = task.check_tables(spec, read, lambda schema, name: {"orders": orders, "clients": clients}[name], metas)
+    shown = found.groupBy("schema", "tb").agg(F.count("line").cast("long").alias("lines"), F.count_if(F.col("statement").isNotNull() & (F.col("kind") != "same")).alias("statements"))
+    return check.summary(found, total=False).join(shown, ["schema", "tb"]).select("schema", "tb", "checked_count", "miss_count", "diff_count", "skip_count", "lines", "statements")
+
+
+_TASK_SQL = f"""WITH {ORDERS_TARGET}, o AS (SELECT d.o_orderkey IS NULL AS miss, d.o_orderkey IS NOT NULL AND (s.o_orderstatus <> d.o_orderstatus OR s.o_totalprice <> d.o_totalprice) AS diff
+  FROM orders s LEFT JOIN dst d ON s.o_orderkey = d.o_orderkey WHERE s.o_orderkey % 2 = 0),
+c AS (SELECT c_custkey % 13 = 0 AS miss, c_custkey % 13 <> 0 AND c_custkey % 17 = 0 AS diff FROM customer), a AS (SELECT 'orders' AS tb, * FROM o UNION ALL SELECT 'customer', * FROM c)
+SELECT 'main' AS schema, tb, count(*) AS checked_count, count(*) FILTER (WHERE miss) AS miss_count, count(*) FILTER (WHERE diff) AS diff_count, CAST(0 AS BIGINT) AS skip_count,
+  count(*) FILTER (WHERE miss OR diff) AS lines, count(*) FILTER (WHERE miss OR diff) AS statements FROM a GROUP BY tb"""
+
+
+def task_cdc(spark, d) -> DataFrame:
+    """A table's changes under the target's names."""
+    spec, read, metas = _task(spark, d)
+    customer = read("main", "customer")
+    target = customer.drop("c_mktsegment").withColumnRenamed("c_acctbal", "balance")
+    out = task.cdc(spec, lambda s, t: customer_changes(customer), lambda s, t: target, [m for m in metas if m.table == "customer"])
+    return out["dw", "clients"]
+
+
+QUERIES = {f.__name__: f for f in (task_check, task_cdc, stream_apply_batches, stream_unresolved_state, stream_positions, jdbc_roundtrip, audited_stream_view)}
 SQL = {
+    "task_check": _TASK_SQL, "task_cdc": f"SELECT c_custkey, c_name, c_nationkey, c_acctbal AS balance FROM ({CUSTOMER_AFTER})",
     "stream_apply_batches": _STREAM, "stream_unresolved_state": _UNRESOLVED, "audited_stream_view": _STREAM, "jdbc_roundtrip": _JDBC,
     "stream_positions": "SELECT event_type, CAST(max(event_id) AS VARCHAR) AS position, max(event_id) AS seq FROM events GROUP BY event_type",
 }
