@@ -119,4 +119,5 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules=None) -> DataFrame:
     names = docs.columns
     held = docs.select(F.struct(*[F.col(sql_name(c)) for c in names]).alias("_row"))
     flat = held.select("_row", F.col("_row")[text_col].alias("_text"))
-    return judged(flat, "_text", rules).filter("kept").select("_row.*")
+    # a filter on ``kept`` would be pushed below the projections and repeat their expressions at each use; a generator is not
+    return judged(flat, "_text", rules).select(F.inline(F.when(F.col("kept"), F.array("_row"))))
