@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import canonical, key_percent, same_value
 from ..meta import TableMeta
+from .merge import compact
 
 DIFF_COLUMNS_KEPT = 8
 
@@ -96,6 +97,19 @@ def deleted_still_there(deletes: DataFrame, dst: DataFrame, meta: TableMeta) ->
     return dst.join(deletes.select(*meta.id_cols), list(meta.id_cols), "left_semi")
 
 
+def applied(changes: DataFrame, target: DataFrame, meta: TableMeta) -> DataFrame:
+    """A batch that has just been written, held against the target: its rows by key, and its deletes that are still there (stale).
+
+    Only the batch's keys are looked up.
+    """
+    net = compact(changes, meta)
+    want = net.filter("op = 'upsert'").select("after.*")
+    found = compared(want, target, meta)
+    there = deleted_still_there(net.filter("op = 'delete'"), target, meta)
+    left = there.select(*meta.id_cols, F.lit("stale").alias("kind"), F.array().cast("array<string>").alias("diff_cols"), F.lit(None).cast(found.schema["src"].dataType).alias("src"), F.struct(*target.columns).alias("dst"))
+    return found.unionByName(left)
+
+
 def capped(diff_cols: Column, most: int = DIFF_COLUMNS_KEPT) -> Column:
     """The first columns by name."""
     return F.slice(F.array_sort(diff_cols), 1, most)

@@ -9,7 +9,7 @@ from ..functions.sqltext import kinds_of, revise_sql
 from ..functions.values import network_text, same_value
 from ..meta import table_meta
 from ..operators import check
-from ..sources import logs
+from ..sources import logs, structures
 from .fixtures import KEYS, ORDERS_TARGET, customer_target, literal_rows, meta_of, orders_target, sql_values, table
 
 _names = lambda c="diff_cols": F.concat_ws(",", c)
@@ -184,6 +184,13 @@ _STRUCT = f"""WITH s AS (SELECT * FROM {sql_values(_STRUCT_SRC, 'key, ddl')}), d
 SELECT coalesce(s.key, d.key) AS key, CASE WHEN d.key IS NULL THEN 'miss' ELSE 'diff' END AS kind, s.ddl AS src_ddl, d.ddl AS dst_ddl
 FROM s FULL JOIN d ON s.key = d.key WHERE s.ddl IS DISTINCT FROM d.ddl"""
 
+def structure_source(spark, d) -> DataFrame:
+    """The tables' own structures against those of a target that lacks one and has another type in one."""
+    frames = {("main", t): table(spark, d, t) for t in ("region", "nation", "supplier")}
+    other = {("main", "region"): frames["main", "region"], ("main", "nation"): frames["main", "nation"].withColumn("n_regionkey", F.col("n_regionkey").cast("long"))}
+    return check.structures(structures.describe(spark, frames), structures.describe(spark, other)).select("key", "kind")
+
+
 _NETS = [(1, "10.0.0.1", "10.0.0.1/32"), (2, "10.0.0.0/8", "10.0.0.0/8"), (3, "::1/128", "::1"), (4, "10.0.0.1", "10.0.0.2"), (5, None, None), (6, "10.0.0.1/32", None), (7, "10.0.0.0/24", "10.0.0.0")]
 
 
@@ -249,7 +256,7 @@ SELECT event_id, line FROM (SELECT *, sum(octet_length(encode(line)) + 1) OVER (
 
 QUERIES = {f.__name__: f for f in (
     check_diff_orders, check_diff_by_digest, check_miss_orders, check_stale_orders, check_deleted_still_there, check_missing_target, check_summary_by_table, check_null_key_skip,
-    check_diff_cols_capped, check_sampled_by_key, check_log_json, recheck_truth_table, check_bag_lineitem, struct_diff, network_equal, doc_diff, review_from_log, newest_lines,
+    check_diff_cols_capped, check_sampled_by_key, check_log_json, recheck_truth_table, check_bag_lineitem, struct_diff, structure_source, network_equal, doc_diff, review_from_log, newest_lines,
 )} | {"revise_sql": revise_statements}
 SQL = {
     "check_diff_orders": _DIFF, "check_diff_by_digest": _DIFF,
@@ -257,6 +264,6 @@ SQL = {
     "check_stale_orders": f"WITH {ORDERS_TARGET} SELECT o_orderkey, o_custkey, o_totalprice FROM dst WHERE NOT EXISTS (SELECT 1 FROM orders s WHERE dst.o_orderkey = s.o_orderkey)",
     "check_deleted_still_there": f"WITH {ORDERS_TARGET} SELECT o_orderkey, o_orderstatus FROM dst WHERE o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 41 = 0)",
     "check_missing_target": "SELECT 'miss' AS kind, count(*) AS n FROM orders", "check_summary_by_table": _SUMMARY, "check_null_key_skip": _SKIP, "check_diff_cols_capped": _CAPPED,
-    "check_sampled_by_key": _SAMPLED, "check_log_json": _LOG, "recheck_truth_table": _RECHECK, "check_bag_lineitem": _BAG, "struct_diff": _STRUCT, "network_equal": _NETWORK,
+    "check_sampled_by_key": _SAMPLED, "check_log_json": _LOG, "recheck_truth_table": _RECHECK, "check_bag_lineitem": _BAG, "struct_diff": _STRUCT, "structure_source": "SELECT * FROM (VALUES ('table.main.region', 'same'), ('table.main.nation', 'diff'), ('table.main.supplier', 'miss')) AS v(key, kind)", "network_equal": _NETWORK,
     "doc_diff": _DOC, "revise_sql": _REVISE, "review_from_log": _REVIEW, "newest_lines": _NEWEST,
 }

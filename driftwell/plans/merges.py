@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..meta import table_meta
-from ..operators import apply, changes, filters, merge, partition
+from ..operators import apply, changes, check, filters, merge, partition
 from .fixtures import CUSTOMER_AFTER, KEYS, LAST_EVENTS, USER_META, customer_changes, event_changes, meta_of, orders_target, table
 
 
@@ -138,6 +138,33 @@ _MULTI = """SELECT s.s_suppkey, CASE WHEN s.s_suppkey % 4 = 1 THEN coalesce(n.s_
 FROM supplier s LEFT JOIN supplier n ON n.s_suppkey = s.s_suppkey + 1 WHERE s.s_suppkey % 4 <> 2"""
 
 
+def load_rows(spark, d) -> DataFrame:
+    """Users' last states as JSON rows, their JSON text nested."""
+    return apply.load_rows(event_changes(table(spark, d, "events").withColumn("value", F.floor("value").cast("double"))), USER_META, hard_delete=True, json_columns=["props"])
+
+
+_LOAD = f"""WITH {LAST_EVENTS} SELECT '{{"user_id":' || CAST(user_id AS VARCHAR) || CASE WHEN op = 'delete' THEN ',"__op":"delete"}}' ELSE ',"value":' || CAST(floor(value) AS VARCHAR) || ',"props":' ||
+  replace(props, ' ', '') || ',"__op":"upsert"}}' END AS row, event_id AS seq FROM last"""
+
+
+def inline_check(spark, d) -> DataFrame:
+    """A batch held against a target that took part of it."""
+    customer = table(spark, d, "customer")
+    meta = meta_of(customer, "customer")
+    batch = customer_changes(customer)
+    target = apply.apply_changes(customer, batch.filter("coalesce(after.c_custkey, before.c_custkey) % 10 <> 0"), meta)
+    return check.applied(batch, target, meta).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+_INLINE = """WITH k AS (
+  SELECT CASE WHEN c_custkey % 35 = 0 THEN CASE WHEN c_custkey % 10 = 0 THEN 'diff' ELSE 'same' END
+    WHEN c_custkey % 7 = 0 THEN CASE WHEN c_custkey % 10 = 0 THEN 'stale' END
+    WHEN c_custkey % 11 = 0 THEN CASE WHEN c_custkey % 10 = 0 THEN 'stale' END
+    WHEN c_custkey % 5 = 0 THEN CASE WHEN c_custkey % 10 = 0 THEN 'diff' ELSE 'same' END END AS kind FROM customer
+  UNION ALL SELECT CASE WHEN c_custkey % 10 = 0 THEN 'miss' ELSE 'same' END FROM customer WHERE c_custkey % 11 = 0 AND c_custkey % 7 <> 0)
+SELECT kind, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY kind"""
+
+
 def apply_insert_or_update_values(spark, d) -> DataFrame:
     orders = table(spark, d, "orders")
     return apply.insert_or_update_values(orders, orders_target(orders), meta_of(orders, "orders")).select("o_orderkey", "o_orderstatus", "o_totalprice")
@@ -294,13 +321,13 @@ def partition_auto_split(spark, d) -> DataFrame:
 _SNAP = CUSTOMER_AFTER
 QUERIES = {f.__name__: f for f in (
     merge_lww_events, merge_net_ops, merge_key_change, merge_unmerged_flag, merge_documents, merge_toast_fill, apply_replace, apply_update_only, apply_soft_delete_latest, apply_hard_delete,
-    apply_replace_multi_unique, apply_insert_or_update_values, apply_bag_delete_one, apply_bag_update_one, snapshot_plus_cdc, undo_log, split_updates, before_from_key, drain_segments, replay_runs,
+    apply_replace_multi_unique, load_rows, inline_check, apply_insert_or_update_values, apply_bag_delete_one, apply_bag_update_one, snapshot_plus_cdc, undo_log, split_updates, before_from_key, drain_segments, replay_runs,
     loop_filter, filter_events_time, last_positions, partition_hash_counts, partition_table_even, partition_auto_split,
 )}
 SQL = {
     "merge_lww_events": _LWW, "merge_net_ops": _NET, "merge_key_change": _KEY_CHANGE, "merge_unmerged_flag": _UNMERGED, "merge_documents": _DOCS, "merge_toast_fill": _TOAST,
     "apply_replace": CUSTOMER_AFTER, "apply_update_only": CUSTOMER_AFTER, "apply_soft_delete_latest": _SOFT, "apply_hard_delete": "SELECT * FROM customer WHERE c_custkey % 7 <> 0",
-    "apply_replace_multi_unique": _MULTI, "apply_insert_or_update_values": _VALUES, "apply_bag_delete_one": _BAG_DELETE, "apply_bag_update_one": _BAG_UPDATE, "snapshot_plus_cdc": _SNAP,
+    "apply_replace_multi_unique": _MULTI, "load_rows": _LOAD, "inline_check": _INLINE, "apply_insert_or_update_values": _VALUES, "apply_bag_delete_one": _BAG_DELETE, "apply_bag_update_one": _BAG_UPDATE, "snapshot_plus_cdc": _SNAP,
     "undo_log": _UNDO, "split_updates": _SPLIT, "before_from_key": _BEFORE, "drain_segments": _DRAIN, "replay_runs": _RUNS, "loop_filter": _LOOP, "filter_events_time": _TIME,
     "last_positions": "SELECT event_type, 'binlog.1:' || CAST(max(event_id) AS VARCHAR) AS position, max(event_id) AS seq FROM events GROUP BY event_type",
     "partition_hash_counts": _HASH, "partition_table_even": _EVEN,

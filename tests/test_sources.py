@@ -3,7 +3,6 @@
 import struct
 
 import pytest
-from pyspark.sql import functions as F
 
 from driftwell.meta import TableMeta
 from driftwell.sources import files, kafka, rdb_file
@@ -102,7 +101,3 @@ def test_messages(spark):
     rows = spark.createDataFrame([("1", "db", "t", "insert")], "key string, schema string, tb string, operation string")
     out = kafka.messages(rows, {("*", "*"): "all", ("db", "*"): "one"}).first()
     assert (out.topic, out.key) == ("one", "1") and out.value == '{"schema":"db","tb":"t","operation":"insert"}'
-
-
-def test_spark_has_no_other_zone(spark):
-    assert spark.conf.get("spark.sql.session.timeZone") == "UTC" and spark.range(1).select(F.lit(1)).count() == 1
