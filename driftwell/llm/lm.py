@@ -98,6 +98,17 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
 
 
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their steps, byte by byte: the high bytes of the steps are nearly all zero and shrink to nothing."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
 def context_bucket(c: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(c.astype(np.float64))[1], BUCKETS - 1)
 
@@ -142,14 +153,14 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 cols: list[list] = [[], [], [], [], []]
                 for kind, keys, n in zip((0, 1), (c.words, c.pairs), c.counts(), strict=True):
                     for bucket, s in cut(keys, bits):
-                        for col, x in zip(cols, (kind << 40 | bucket, kind, chunk, keys[s].tobytes(), _packed(n[s])), strict=True):
+                        for col, x in zip(cols, (kind << 40 | bucket, kind, chunk, _packed_keys(keys[s]), _packed(n[s])), strict=True):
                             col.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "kind", "chunk", "keys", "n"])
 
     def summed(table: pa.Table) -> pa.Table:
         n = [_numbers(x.as_py()) for x in table.column("n")]
         sizes = np.cumsum([len(x) for x in n])[:-1]
-        keys = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in table.column("keys")])
+        keys = np.concatenate([_keys(x.as_py()) for x in table.column("keys")])
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py() & (1 << 40) - 1
         distinct, which = np.unique(keys, return_inverse=True)
         total = np.bincount(which, np.concatenate(n), len(distinct)).astype(np.int64)
