@@ -1,0 +1,238 @@
+"""Near-duplicates by the exact Jaccard similarity of word shingles, at least 4/5.
+
+``prefixes``: shingles stand in one order for all texts, the frequent ones of a sample last.  Two sets of similarity 4/5 share
+at least 4/5 of the larger one, so they meet in a shingle among the first n // 5 + 1 of each; the order decides only how many others meet there.
+``meetings``: the sets that meet in a shingle, cut where the sizes rule a link out; pairs up to ``SMALL`` of them, else one group (or pairs of
+blocks of ``BLOCK``).  Meetings of the same members are one.
+``linked``: a search through a meeting that compares every set with those not yet reached; it leaves out only pairs that are connected already,
+so the components are those of all similar pairs.
+
+Shingles are their 64-bit hashes (XXH64, as the fingerprints have them); equal sets are one node, named by a hash of the set.
+
+Defined results: words as in ``simhash``; null, empty and blank texts have no shingles and are one class; a text of at most ``shingle`` words is one shingle;
+rows that repeat an id are judged each for itself; a null id is kept only where the class has no other; an empty table gives an empty table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import combinations, repeat
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest, xxh64_intdigest
+
+from .common import components, sql_name, stash
+
+SMALL = 8
+BLOCK = 2048
+#: Documents counted for the order of the shingles, from how many of them on a shingle is frequent, and so many at most.
+SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 20_000, 4, 200_000
+
+
+def shingle_set(text: bytes | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """The sorted distinct hashes of the shingles."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    if len(words) <= shingle:
+        return np.array([xxh64_intdigest(b" ".join(words), seed)], np.uint64)
+    joined = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
+    return np.unique(np.fromiter(map(xxh64_intdigest, joined, repeat(seed)), np.uint64, len(words) - shingle + 1))
+
+
+def set_key(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
+
+
+def similar(shared, a, b):
+    """Whether ``shared`` of ``a`` and ``b`` elements make a similarity of 4/5."""
+    return 5 * shared >= 4 * (a + b - shared)
+
+
+def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Similar pairs that connect what all similar pairs connect; no set is empty."""
+    sizes = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        shared = len(np.intersect1d(*sets, assume_unique=True))
+        return [(0, 1)] if similar(shared, *sizes) else []
+    names, of = np.unique(np.concatenate(sets), return_inverse=True)
+    parts = np.split(of, np.cumsum(sizes)[:-1])
+    flags = np.zeros(len(names), np.int32)
+    links, left, queue = [], np.arange(len(sets)), []
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+            if not len(left):
+                break
+            held, starts = np.concatenate([parts[i] for i in left]), np.r_[0, np.cumsum(sizes[left])[:-1]]
+        i = queue.pop()
+        flags[parts[i]] = 1
+        hit = similar(np.add.reduceat(flags[held], starts), sizes[i], sizes[left])
+        flags[parts[i]] = 0
+        if hit.any():
+            found, left = left[hit].tolist(), left[~hit]
+            links += [(i, j) for j in found]
+            queue += found
+            if len(left):
+                held, starts = np.concatenate([parts[j] for j in left]), np.r_[0, np.cumsum(sizes[left])[:-1]]
+    return links
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Slices of more than one row with the same first column, of rows sorted by it."""
+    held: list[pa.RecordBatch] = []
+
+    def done(table: pa.Table, last: bool) -> Iterator[pa.Table]:
+        x = table.column(0).to_numpy()
+        edges = np.r_[0, np.flatnonzero(np.diff(x)) + 1, len(x)]
+        stop = len(edges) - 1 if last else len(edges) - 2
+        for k in np.flatnonzero(np.diff(edges)[:stop] > 1):
+            yield table.slice(int(edges[k]), int(edges[k + 1] - edges[k]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        x = batch.column(0)
+        if held[0].column(0)[-1].as_py() == x[batch.num_rows - 1].as_py() and len(held) > 1:
+            continue  # still inside the run that was carried over
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield from done(table, False)
+        keys = table.column(0).to_numpy()
+        start = int(np.searchsorted(keys, keys[-1]))
+        held = table.slice(start).combine_chunks().to_batches()
+    if held:
+        yield from done(pa.Table.from_batches(held).combine_chunks(), True)
+
+
+def meetings(keys: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Arrays of keys that must be compared, for the sets that meet in one shingle."""
+    keys, at = np.unique(keys, return_index=True)
+    sizes = sizes[at]
+    order = np.argsort(sizes, kind="stable")
+    keys, sizes = keys[order], sizes[order]
+    cuts = np.flatnonzero(5 * sizes[:-1] < 4 * sizes[1:]) + 1
+    for part, n in zip(np.split(keys, cuts), np.split(sizes, cuts), strict=True):
+        if len(part) <= SMALL:
+            for i, j in combinations(range(len(part)), 2):
+                if 5 * n[i] >= 4 * n[j]:
+                    yield part[[i, j]]
+        elif len(part) <= BLOCK:
+            yield part
+        else:
+            starts = range(0, len(part), BLOCK)
+            for i, j in combinations(starts, 2):
+                if 5 * n[min(i + BLOCK, len(n)) - 1] >= 4 * n[j]:
+                    yield np.concatenate([part[i : i + BLOCK], part[j : j + BLOCK]])
+
+
+def _frequent(marked: DataFrame, n_rows: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent shingles of a sample, sorted, and their counts."""
+    share = min(1.0, SAMPLE_DOCS / max(1, n_rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), shingle).view(np.int64))], names=["x"])
+
+    some = marked.filter(F.pmod(F.xxhash64("_at"), F.lit(1_000_000)) < int(share * 1_000_000)).select("_text")
+    counts = some.mapInArrow(run, "x long").groupBy("x").agg(F.count("*").alias("c")).filter(F.col("c") >= FREQUENT)
+    got = counts.orderBy(F.desc("c"), "x").limit(MOST_FREQUENT).toArrow()
+    x, c = got.column("x").to_numpy().view(np.uint64), got.column("c").to_numpy()
+    order = np.argsort(x)
+    return x[order], c[order]
+
+
+def prefixes(marked: DataFrame, shingle: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``(x, key, n)``: the first shingles of each set."""
+    known, counts = frequent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts, keys, sizes, seen = [], [], [], set()
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if key in seen:
+                    continue
+                seen.add(key)
+                hashes = shingle_set(text.as_py(), shingle)
+                n = len(hashes)
+                if not n:
+                    continue
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    rank = np.where(known[at] == hashes, counts[at], 0)
+                    hashes = hashes[np.argsort(rank, kind="stable")]
+                firsts.append(hashes[: n // 5 + 1])
+                keys.append(key)
+                sizes.append(n)
+            if firsts:
+                each = [len(f) for f in firsts]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each))],
+                    names=["x", "key", "n"],
+                )
+
+    return marked.select("_key", "_text").mapInArrow(run, "x long, key long, n int")
+
+
+def link_classes(marked: DataFrame, shingle: int = 5) -> DataFrame:
+    """``(key, class)`` for the sets of ``marked(_at, _key, _text)`` that have a partner; class is the smallest key reachable."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for run in _runs(batches):
+            for part in meetings(run.column(1).to_numpy(), run.column(2).to_numpy()):
+                group = int(np.uint64(xxh3_64_intdigest(part.tobytes())).view(np.int64))
+                if group not in seen:
+                    seen.add(group)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), group)), pa.array(part)], names=["g", "key"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text.as_py(), shingle).tobytes() for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["key", "hashes"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches):
+            keys = run.column(1).to_numpy()
+            links = linked([np.frombuffer(x.as_py(), np.uint64) for x in run.column(2)])
+            if links:
+                a, b = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a]), pa.array(keys[b])], names=["a", "b"])
+
+    first = prefixes(marked, shingle, _frequent(marked, marked.count(), shingle))
+    met = first.repartition("x").sortWithinPartitions("x").mapInArrow(meet, "g long, key long")
+    met = stash(met.distinct(), "jaccard-meetings")
+    named = marked.select(F.col("_key").alias("key"), "_at").join(met.select("key").distinct(), "key", "left_semi")
+    needed = stash(named.groupBy("key").agg(F.min("_at").alias("_at")).select("_at"), "jaccard-needed")
+    sets = marked.select("_key", "_text", "_at").join(needed, "_at", "left_semi").select("_key", "_text").mapInArrow(hashed, "key long, hashes binary")
+    both = met.join(sets, "key").select("g", "key", "hashes").repartition("g").sortWithinPartitions("g")
+    edges = both.mapInArrow(compare, "a long, b long")
+    return components(edges).select(F.col("node").alias("key"), F.col("component").alias("class"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """One row of each class of near-duplicates, the one with the smallest id, with the columns of ``docs``.
+
+    Rows that repeat the smallest id (or all lack one) are told apart by their place in the written table.
+    """
+    names = docs.columns
+    held = docs.select(F.struct(*[F.col(sql_name(c)) for c in names]).alias("_row"))
+    src = held.select(F.monotonically_increasing_id().alias("_at"), "_row", F.col("_row")[text_col].cast("binary").alias("_text"))
+    schema = src.drop("_text").schema.add("_key", "long")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [set_key(shingle_set(text.as_py(), shingle)) for text in batch.column(2)]
+            kept = pa.schema([*batch.schema][:2])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.int64())], schema=kept.append(pa.field("_key", pa.int64())))
+
+    marked = stash(src.mapInArrow(mark, schema), "jaccard")
+    classes = link_classes(marked.select("_at", "_key", F.col("_row")[text_col].cast("binary").alias("_text")), shingle)
+    of = marked.select("_at", "_key", F.col("_row")[id_col].alias("_id")).join(classes.withColumnRenamed("key", "_key").hint("merge"), "_key", "left")
+    first = F.struct(F.col("_id").isNull().alias("n"), F.col("_id"), F.col("_at"))
+    kept = of.groupBy(F.coalesce("class", "_key").alias("class")).agg(F.min(first).alias("k")).select(F.col("k._at").alias("_at"))
+    return marked.join(kept.hint("merge"), "_at", "left_semi").select("_row.*")

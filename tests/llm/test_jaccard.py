@@ -1,0 +1,72 @@
+import random
+
+import numpy as np
+
+import corpus_pipeline
+from driftwell.llm import jaccard
+
+from . import brute
+
+
+def shingles(text, k=5):
+    w = brute.words((text or "").lower())
+    return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def expected(rows):
+    """The rows (id, text) that stay, by comparing all pairs."""
+    sets = [shingles(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    best = {}
+    for i, top in enumerate(brute.joined(len(rows), links)):
+        best[top] = min(best.get(top, (True, 0, len(rows))), (rows[i][0] is None, rows[i][0] or 0, i))
+    return sorted((rows[i] for _, _, i in best.values()), key=str)
+
+
+def edited(rng, words, most):
+    words = list(words)
+    for _ in range(rng.randrange(most)):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return words
+
+
+def test_stage_against_all_pairs(spark):
+    rng = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(500)
+    made = []
+    for d in range(100_000, 100_040):  # near copies on both sides of 4/5
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(20, 200))]
+        made += [(d * 10 + k, " ".join(edited(rng, words, 2 + len(words) // 25)), "en", "s", 0) for k in range(3)]
+    docs = docs.union(spark.createDataFrame(made, docs.schema)).localCheckpoint()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = expected(rows)
+    assert len(want) < len({jaccard.set_key(jaccard.shingle_set((t or "").encode())) for _, t in rows}) - 10
+    got = corpus_pipeline.near_copies(spark, docs, "")
+    assert got.columns == docs.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == want
+
+
+def test_group_larger_than_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "SAMPLE_DOCS", 0)
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(edited(rng, base, 6))) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in jaccard.keep_first(docs).collect()), key=str) == expected(rows)
+
+
+def test_search_connects_what_all_pairs_connect():
+    rng = random.Random(5)
+    for _ in range(60):
+        base = rng.sample(range(400), 60)
+        sets = [np.array(sorted({*rng.sample(base, rng.randrange(44, 60)), *rng.sample(range(400, 900), rng.randrange(8))}), np.uint64) for _ in range(rng.randrange(2, 40))]
+        n = len(sets)
+        links = [(i, j) for i in range(n) for j in range(i) if 5 * len({*sets[i].tolist()} & {*sets[j].tolist()}) >= 4 * len({*sets[i].tolist()} | {*sets[j].tolist()})]
+        assert brute.joined(n, jaccard.linked(sets)) == brute.joined(n, links)
+
+
+def test_nulls_blanks_repeats_and_ids(spark):
+    rows = [(None, "one text that stands here alone"), (None, "quite another text of other words"), (7, "some words of the first kind"), (7, "a different text with the same id"), (1, None), (2, " \n"), (3, "Same TEXT"), (4, "same text"), (4, "same text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in jaccard.keep_first(docs).collect()), key=str) == expected(rows)
+    assert jaccard.keep_first(docs.limit(0)).count() == 0
