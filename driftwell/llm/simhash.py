@@ -93,14 +93,17 @@ def link_classes(fps: DataFrame) -> DataFrame:
     return components(near.union(star)).select(F.col("node").alias("fp"), F.col("component").alias("class"))
 
 
-def classes(hashed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``hashed`` (with ``fp``) and ``component_id``, the smallest id reachable through links."""
+def classes(hashed: DataFrame, id_col: str = "doc_id", keep_class: bool = False) -> DataFrame:
+    """``hashed`` (with ``fp``) and ``component_id``, the smallest id reachable through links.
+
+    Classes may share a ``component_id`` (null or repeated ids); ``_class``, the smallest linked fingerprint, tells them apart if asked for.
+    """
     id_name = sql_name(id_col)
     first = stash(hashed.groupBy("fp").agg(F.min(id_name).alias("_low")), "simhash-first")
     linked = link_classes(first.select("fp"))
     of = first.join(linked.hint("merge"), "fp", "left").select("fp", "_low", F.coalesce("class", "fp").alias("_class"))
     lowest = of.groupBy("_class").agg(F.min("_low").alias("component_id"))
-    of = stash(of.join(lowest.hint("merge"), "_class").select("fp", "component_id"), "simhash-classes")
+    of = stash(of.join(lowest.hint("merge"), "_class").select("fp", "component_id", *["_class"][: int(keep_class)]), "simhash-classes")
     return hashed.join(of.hint("merge"), "fp")
 
 
@@ -119,7 +122,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = docs.select(F.struct(*[F.col(sql_name(c)) for c in names]).alias("_row"))
     src = held.select(F.col("_row")[id_col].alias("_id"), F.monotonically_increasing_id().alias("_at"), F.col("_row")[text_col].alias("_text"), "_row")
     hashed = stash(fingerprints(src, "_text", shingle), "simhash")
-    of = classes(hashed.select("_id", "_at", "fp"), "_id")
+    of = classes(hashed.select("_id", "_at", "fp"), "_id", keep_class=True)
     first = F.struct(F.col("_id").isNull().alias("n"), F.col("_id"), F.col("_at"))
-    kept = of.groupBy("component_id").agg(F.min(first).alias("k")).select(F.col("k._at").alias("_at"))
+    kept = of.groupBy("_class").agg(F.min(first).alias("k")).select(F.col("k._at").alias("_at"))
     return hashed.join(kept.hint("merge"), "_at", "left_semi").select("_row.*")

@@ -58,6 +58,12 @@ def test_nulls_blanks_repeats_and_extra_columns(spark):
     assert run(docs.limit(0)) == [] and simhash.keep_first(docs.limit(0)).count() == 0
 
 
+def test_first_of_unlike_documents_without_or_with_one_id(spark):
+    rows = [(None, "one text that stands here alone"), (None, "quite another text of other words"), (7, "some words of the first kind"), (7, "a different text with the same id"), (7, "a different text with the same id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in simhash.keep_first(docs).collect()), key=str) == sorted(rows[:4], key=str)
+
+
 def test_very_long_text():
     text = "a b c d e f g " * 40000
     assert simhash.fingerprint(text.encode()) == simhash.fingerprint((text + " ").encode())
