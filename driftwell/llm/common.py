@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 6 << 20
@@ -30,16 +30,25 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Without that setting a local session gets a temporary folder; on a cluster, where executors would write what others can't read, it is an error.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="driftwell-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="driftwell-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back: a lost executor costs no earlier stage."""
+    """Write ``df`` below the shared folder and read it back: a lost executor costs no earlier stage.
+
+    The tables stay there, as later actions on a result read them; the folder is the session's to clear, like that of any checkpoint.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(at)
@@ -58,6 +67,41 @@ def sql_name(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+class positional:  # noqa: N801 - used like a function
+    """A caller's frame with its columns known by place, so that none of their names can clash with ours.
+
+    ``frame`` has the columns c0, c1, ...; ``row()`` is one struct of those to be given back: all but ``without`` and those named like a result
+    in ``made`` (in any case), which the result replaces.  ``back`` turns the struct into columns of the old names again.
+    """
+
+    def __init__(self, docs: DataFrame, made: tuple[str, ...] | list[str] = (), without: tuple[str, ...] | list[str] = ()):
+        self.names, replaced = docs.columns, {m.lower() for m in made}
+        self.frame = docs.toDF(*[f"c{n}" for n in range(len(self.names))])
+        gone = {self.place(c) for c in without}
+        self.kept = [n for n, c in enumerate(self.names) if n not in gone and c.lower() not in replaced]
+
+    def place(self, name: str) -> int:
+        if name in self.names:
+            return self.names.index(name)
+        alike = [n for n, c in enumerate(self.names) if c.lower() == name.lower()]
+        if len(alike) != 1:
+            raise ValueError(f"no column {name}")
+        return alike[0]
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(f"c{self.place(name)}")
+
+    def row(self) -> Column:
+        return F.struct(*([F.col(f"c{n}") for n in self.kept] or [F.lit(None).cast("boolean").alias("none")])).alias("_row")
+
+    def inside(self, name: str) -> Column:
+        """A column of the struct."""
+        return F.col("_row")[f"c{self.place(name)}"]
+
+    def back(self, df: DataFrame, *made: Column | str) -> DataFrame:
+        return df.select(*[F.col("_row")[f"c{n}"].alias(self.names[n]) for n in self.kept], *made)
+
+
 # ---------------------------------------------------------------- chunks
 
 
@@ -185,35 +229,81 @@ def mix(x: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- components
 
 
+#: Edges that a task joins at once before the steps over the whole table.
+JOINED_EDGES = 1 << 20
+
+
+def lowest_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of range(n), the smallest number reachable over the links (a, b)."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        both = np.minimum(low[a], low[b])
+        np.minimum.at(new, a, both)
+        np.minimum.at(new, b, both)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) as stars around the smallest node, as far as the rows of one task show it; connects what ``edges`` connects."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def star() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            of = pa.concat_arrays([*table.column(0).chunks, *table.column(1).chunks]).dictionary_encode()
+            order = pa.compute.sort_indices(of.dictionary)
+            rank = np.empty(len(order), np.int64)
+            rank[order.to_numpy()] = np.arange(len(order))
+            ends = rank[of.indices.to_numpy()]
+            low = lowest_reachable(len(rank), ends[: table.num_rows], ends[table.num_rows :])
+            leaves = np.flatnonzero(low != np.arange(len(low)))
+            nodes = of.dictionary.take(order)
+            return pa.RecordBatch.from_arrays([nodes.take(pa.array(leaves)), nodes.take(pa.array(low[leaves]))], names=["u", "v"])
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= JOINED_EDGES:
+                yield star()
+                held, size = [], 0
+        if size:
+            yield star()
+
+    return edges.select("u", "v").mapInArrow(run, edges.select("u", "v").schema)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; component is the smallest node reachable.
 
-    Large-star and small-star steps in turn.  Each keeps at most a row per edge, takes
-    the minimum of a node's neighbours with a map-side combine, and is written to
-    the shared folder; the driver sees a count and two sums per round.  A node with very
-    many neighbours is a skewed join, which adaptive execution splits.
+    Each task first joins the edges it holds.  Then large-star and small-star steps in turn, until every node has one edge, to
+    a node that has none: each step keeps at most a row per edge, takes the minimum of a node's neighbours with a map-side combine, and is
+    written to the shared folder; the driver sees two counts per round.  The minima are written before they are joined: then both
+    sides of the join are plain shuffles, and adaptive execution splits the rows of a node with very many neighbours.
     """
-    cur = stash(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    start = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    cur = stash(_stars(start.distinct()).distinct(), "edges")
 
     def lowest(sym: DataFrame) -> DataFrame:
-        return sym.groupBy("u").agg(F.min("v").alias("m"))
+        return stash(sym.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+
+    def settled() -> bool:
+        if not cur.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+            return False
+        return cur.select("u").join(cur.select(F.col("v").alias("u")).distinct().hint("merge"), "u", "left_semi").isEmpty()
 
-    before = None
     for _ in range(max_rounds):
+        if settled():
+            return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = lowest(both).select("u", F.least("u", "m").alias("m"))
         large = both.join(low.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = stash(large, "edges")
-        low = lowest(large)
-        small = large.join(low.hint("merge"), "u")
+        small = large.join(lowest(large).hint("merge"), "u")
         small = small.select("u", F.col("m").alias("v")).union(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        cur = stash(small, "edges")
-        seen = tuple(cur.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if seen == before:
-            break
-        before = seen
-    else:
-        raise RuntimeError("components did not settle")
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
+        cur = stash(_stars(small).distinct(), "edges")
+    raise RuntimeError("components did not settle")

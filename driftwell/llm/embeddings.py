@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, sql_name, stash
+from .common import components, lowest_reachable, sql_name, stash
 
 PROBES = 3
 RECALL = 0.995
@@ -127,20 +127,6 @@ def _unit(values) -> np.ndarray | None:
     return x / np.linalg.norm(x) + 0.0
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest member reachable over the links (a, b)."""
-    low = np.arange(n)
-    while True:
-        new = low.copy()
-        both = np.minimum(low[a], low[b])
-        np.minimum.at(new, a, both)
-        np.minimum.at(new, b, both)
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
-
-
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``vectors`` without the vector, with n_links, component_id, kept."""
     made = ["n_links", "component_id", "kept"]
@@ -243,7 +229,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
                     here = (first == t) & (np.minimum(one, two) == bucket)
                     np.add.at(links, p[here], n[q[here]])
                     np.add.at(links, q[here], n[p[here]])
-                low = _roots(len(side), a, b)
+                low = lowest_reachable(len(side), a, b)
                 some = np.flatnonzero((links > 0) | (low != np.arange(len(side))))
                 yield pa.RecordBatch.from_arrays([pa.array([keys[s] for s in some], pa.binary()), pa.array(links[some]), pa.array([keys[s] for s in low[some]], pa.binary())], names=["key", "links", "to"])
 
