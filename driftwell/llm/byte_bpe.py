@@ -6,13 +6,12 @@ bucket in use by find-first-set.  Entries that no longer describe a live pair ar
 skipped when they come up.  A merge costs a bounded number of steps (and a heap push
 within its bucket), so a pre-token of n bytes costs O(n log n), never O(n^2).
 
-Pre-tokens of at most ``SHORT`` bytes, most of any text, have too few pairs for a queue to pay: there a scan
-finds the lowest rank.  They repeat, and a bounded cache keeps their ids.  The vocabulary file's path is a
-parameter.  Ids are those of the tiktoken library without special tokens.
+Every pre-token that is no token itself goes through the queue, whatever its length.  Short ones repeat, and a bounded cache
+keeps their ids.  The vocabulary file's path is a parameter.  Ids are those of the tiktoken library without special tokens.
 
 Defined results: a null or empty text has no ids.  Repeated rows are encoded each for itself;
-ties (equal ranks) merge leftmost first; an empty table gives an empty table; columns of the
-input named like a result are replaced.
+ties (equal ranks) merge leftmost first; very long texts and pre-tokens are encoded whole; an empty table gives an empty table; columns of the
+input named like a result (in any case) are replaced, all others come back whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +26,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import sql_name
+from .common import positional
 
 
 class RankQueue:
@@ -76,7 +74,6 @@ class ByteBPE:
     """Encoder and decoder for one file of ranks."""
 
     CACHE = 1 << 19
-    SHORT = 32
     CACHED_BYTES = 64
 
     def __init__(self, vocabulary: str, pattern: str):
@@ -99,8 +96,6 @@ class ByteBPE:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
         ids = [self.single[b] for b in piece]
-        if len(ids) <= self.SHORT:
-            return self._merge_short(ids)
         pair, n = self.pair, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = RankQueue()
@@ -122,20 +117,6 @@ class ByteBPE:
                 queue.push(r, h)
         return [x for x in ids if x >= 0]
 
-    def _merge_short(self, ids: list[int]) -> list[int]:
-        """The same merges where a scan for the lowest rank is cheaper than a queue: at most SHORT parts."""
-        pair, none = self.pair.get, 1 << 60
-        waiting = [pair(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-        while waiting and (low := min(waiting)) < none:
-            i = waiting.index(low)
-            ids[i] = low
-            del ids[i + 1], waiting[i]
-            if i < len(waiting):
-                waiting[i] = pair(low << 20 | ids[i + 1], none)
-            if i:
-                waiting[i - 1] = pair(ids[i - 1] << 20 | low, none)
-        return ids
-
     def _packed(self, piece: str) -> bytes:
         data = piece.encode("utf-8", "surrogatepass")
         out = np.array(self.merge(data), "<u4").tobytes()
@@ -166,12 +147,11 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "tex
     ``vocabulary``: a file of ranks that each worker can read (a public file on every machine, or one sent with ``--files``).
     """
     made = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])]
-    others = [c for c in docs.columns if c != text_col and c.lower() not in made]
-    src = docs.select(*[F.col(sql_name(c)) for c in others], F.col(sql_name(text_col)).alias("_text_"))
-    kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded binary" if keep_ids else "")
-    schema = src.drop("_text_").schema
-    for part in kinds.split(", "):
-        schema = schema.add(part.split()[0], part.split()[1])
+    rows = positional(docs, made, [text_col])
+    src = rows.frame.select(rows.row(), rows[text_col].alias("_text"))
+    schema = src.select("_row").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    for name in made[3:]:
+        schema = schema.add(name, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(vocabulary, pattern)
@@ -190,22 +170,21 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "tex
                         decoded.append(back)
                 extra = [pa.array(all_ids, pa.binary()), pa.array(decoded, pa.binary())] if keep_ids else []
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(backs, pa.string()), *extra],
-                    names=[*part.schema.names[:-1], *made],
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(backs, pa.string()), *extra], names=["_row", *made]
                 )
 
-    return src.mapInArrow(run, schema)
+    return rows.back(src.mapInArrow(run, schema), *made)
 
 
 def decoded(encodings: DataFrame, vocabulary: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """``encodings`` with ``text`` (binary) in place of the ids; null ids decode to empty."""
-    others = [c for c in encodings.columns if c not in (ids_col, "text")]
-    src = encodings.select(*[F.col(sql_name(c)) for c in others], F.col(sql_name(ids_col)))
+    rows = positional(encodings, ["text"], [ids_col])
+    src = rows.frame.select(rows.row(), rows[ids_col].alias("_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(vocabulary, pattern)
         for batch in batches:
-            texts = [bpe.decode(x.as_py() or b"") for x in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], names=[*batch.schema.names[:-1], "text"])
+            texts = [bpe.decode(x.as_py() or b"") for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["_row", "text"])
 
-    return src.mapInArrow(run, src.drop(ids_col).schema.add("text", "binary"))
+    return rows.back(src.mapInArrow(run, src.select("_row").schema.add("text", "binary")), "text")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import public_tokenizers as P
 import tiktoken
@@ -47,13 +48,31 @@ def test_random_texts(bpe, reference):
         assert ids(bpe, text) == reference.encode_ordinary(text)
 
 
-def test_scan_and_queue_agree(bpe, monkeypatch):
-    rng = random.Random(4)
-    pieces = [bytes(rng.choice(b"abcthein 01") for _ in range(rng.randrange(2, 90))) for _ in range(400)]
-    mixed = [bpe.merge(p) for p in pieces]
-    for short in (0, 1000):
-        monkeypatch.setattr(type(bpe), "SHORT", short)
-        assert [bpe.merge(p) for p in pieces] == mixed
+def test_whole_table_is_the_library_s_and_through_the_queue(spark, bpe, reference, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in encoded(docs, VOCABULARY, P.PATTERN, keep_ids=False).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert set(got) == set(texts)
+    pops, merges, pop = 0, 0, RankQueue.pop
+
+    def counted(self):
+        nonlocal pops
+        pops += 1
+        return pop(self)
+
+    monkeypatch.setattr(RankQueue, "pop", counted)
+    monkeypatch.setattr(bpe, "cache", {})
+    for doc, text in texts.items():
+        ids = reference.encode_ordinary(text)
+        data = np.array(ids, "<u4").tobytes()
+        assert got[doc] == (len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+        assert bpe.encode(text) == data
+    # each merge of a pre-token that is no token, and one last look at an empty queue, is a pop
+    for piece, packed in bpe.cache.items():
+        data = piece.encode()
+        if data not in bpe.ranks:
+            merges += len(data) - len(packed) // 4 + 1
+    assert merges > 0 and pops >= merges
 
 
 def test_frame_with_nulls_repeats_and_clashing_names(spark, bpe):
@@ -65,3 +84,5 @@ def test_frame_with_nulls_repeats_and_clashing_names(spark, bpe):
     back = decoded(encoded(docs, VOCABULARY, P.PATTERN), VOCABULARY, P.PATTERN)
     assert sorted(bytes(r.text) for r in back.collect()) == [b"", b"", b"the cat", b"the cat"]
     assert encoded(docs.limit(0), VOCABULARY, P.PATTERN).count() == 0
+    odd = spark.createDataFrame([(1, "the cat", 2, 3, 4)], "doc_id long, Text string, _text int, _ROW int, IDS int")
+    assert encoded(odd, VOCABULARY, P.PATTERN, "Text").columns == ["doc_id", "_text", "_ROW", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
