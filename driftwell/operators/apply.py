@@ -13,59 +13,115 @@ from pyspark.sql import functions as F
 
 from ..functions.values import text_or_hex
 from ..meta import TableMeta
-from .merge import compact, images
+from . import replay
+from .changes import fill_unchanged, sends_all
+from .merge import compact, has_null, images, net_effect
 
 DELETED, STAMP = "_is_deleted", "_sync_ts"
 
 
 def apply_changes(target: DataFrame, changes: DataFrame, meta: TableMeta, mode: str = "upsert") -> DataFrame:
-    """``target`` after the changes.
+    """``target`` after the changes, as if they were replayed in the order of ``seq``.
 
     upsert: an update of a missing row writes it.  update_only: it does nothing, unless it moves a row to another key, which is a
-    delete and an insert.  Rows of the target with a null in the key stay.
+    delete and an insert.  Columns that an update did not send (``unchanged``) stay as they are.  A table without a key is a bag
+    of rows (``replay.bag``), which knows upsert only; rows with a null in a nullable key follow ``replay.null_keyed``; a null in a
+    primary key is an error.
     """
-    columns = target.columns
-    if mode == "upsert":
-        net = compact(changes, meta)
-        kept = target.join(net.select(*meta.id_cols), list(meta.id_cols), "left_anti").select(*columns)
-        return kept.unionByName(net.filter("op = 'upsert'").select("after.*").select(*columns))
-    if mode != "update_only":
+    if mode not in ("upsert", "update_only"):
         raise ValueError(mode)
+    if meta.is_bag:
+        if mode != "upsert":
+            raise ValueError("a table without a key has no mode update_only")
+        return replay.bag(target, changes)
+    if sends_all(changes):
+        changes = changes.drop("unchanged")
+    else:
+        changes = replay.moved_values(target, changes, meta)
+    key, odd = list(meta.id_cols), has_null(meta.id_cols)
     flat = images(changes, meta)
-    order = F.struct("seq", "part")
-    births = F.col("op").isin("insert", "delete")
-    net = flat.groupBy(*meta.id_cols).agg(
-        F.max_by(F.struct("op"), F.when(births, order))["op"].alias("state"), F.max_by(F.struct("op", "after"), order).alias("last")
-    )
-    known = target.select(F.struct(*columns).alias("_row"), *meta.id_cols)
-    joined = known.join(net, list(meta.id_cols), "full_outer")
-    exists = F.when(F.col("state").isNotNull(), F.col("state") != "delete").otherwise(F.col("_row").isNotNull())
-    row = F.when(F.col("last").isNull(), F.col("_row")).otherwise(F.struct(*[F.col("last.after")[c].alias(c) for c in columns]))
+    if not meta.nullable.intersection(key):
+        missing = F.raise_error(F.lit(f"{meta.schema}.{meta.table}: a change has a null in the key")).cast("boolean")
+        out = _keyed(target, flat.filter(F.when(odd, missing).otherwise(F.lit(True))), meta, mode)
+        return out
+    plain = _keyed(target.filter(~odd), flat.filter(~odd), meta, mode)
+    return plain.unionByName(replay.null_keyed(target, flat, meta))
+
+
+def _keyed(target: DataFrame, flat: DataFrame, meta: TableMeta, mode: str) -> DataFrame:
+    """The target after images of rows that have their key."""
+    columns, key = target.columns, list(meta.id_cols)
+    net = net_effect(flat, meta)
+    partial = "unsent" in net.columns
+    if mode == "upsert":
+        kept = target.join(net.select(*key), key, "left_anti").select(*columns)
+        alive = net.filter("op <> 'delete'")
+        whole = (alive.filter(F.size("unsent") == 0) if partial else alive).select("after.*").select(*columns)
+        out = kept.unionByName(whole)
+        if not partial:
+            return out
+        holes = alive.filter(F.size("unsent") > 0).select(*key, "after", "unsent")
+        # both sides of the second join have a row per such key; the target is scanned, not shuffled, while the batch can be broadcast
+        known = target.select(F.struct(*columns).alias("_old"), *key).join(holes.select(*key), key, "left_semi")
+        met = holes.join(known, key, "left")
+        return out.unionByName(met.select(*[F.when(F.array_contains("unsent", c), F.col("_old")[c]).otherwise(F.col("after")[c]).alias(c) for c in columns]))
+    known = target.select(F.struct(*columns).alias("_row"), *key)
+    joined = known.join(net, key, "full_outer")
+    exists = F.when(F.col("born").isNotNull(), F.col("born") != "delete").otherwise(F.col("_row").isNotNull())
+    value = lambda c: F.when(F.array_contains("unsent", c), F.col("_row")[c]).otherwise(F.col("after")[c]) if partial else F.col("after")[c]
+    row = F.when(F.col("op").isNull(), F.col("_row")).otherwise(F.struct(*[value(c).alias(c) for c in columns]))
     return joined.filter(exists).select(row.alias("_row")).select("_row.*")
 
 
 def replace_rows(target: DataFrame, changes: DataFrame, meta: TableMeta) -> DataFrame:
     """REPLACE semantics on several unique keys: a written row removes every row, old or new, that shares a key with it.
 
-    Nulls in a unique key conflict with nothing.
+    Nulls in a unique key conflict with nothing, but a delete or an update names its row by the identifying columns, where null equals null.
+    Columns that were not sent take the key's last value, in the batch or in the target.
     """
-    columns = target.columns
-    flat = images(changes, meta).withColumn("_at", F.col("seq") * 2 + F.col("part"))
-    writes = flat.filter("after IS NOT NULL")
-    kept = target.join(flat.select(*meta.id_cols).distinct(), list(meta.id_cols), "left_anti")
-    # a later delete of the key, or a later write that shares any key, ends a written row
-    ends = flat.groupBy(*meta.id_cols).agg(F.max("_at").alias("_last"))
-    alive = writes.join(ends, list(meta.id_cols)).filter("_at = _last").select("after.*", "_at")
-    for key in meta.keys:
-        if tuple(key) == tuple(meta.id_cols):
-            continue
-        held = F.lit(True)
-        for c in key:
-            held = held & F.col(c).isNotNull()
-        taken = writes.select(*[F.col("after")[c].alias(c) for c in key], "_at").filter(held).groupBy(*key).agg(F.max("_at").alias("_taken"))
-        kept = kept.join(taken.select(*key), list(key), "left_anti")
-        alive = alive.join(taken, list(key), "left").filter("_taken IS NULL OR _taken <= _at").drop("_taken")
-    return kept.select(*columns).unionByName(alive.select(*columns))
+    if meta.is_bag:
+        return replay.bag(target, changes)
+    columns, key = target.columns, list(meta.id_cols)
+    if sends_all(changes):
+        changes = changes.drop("unchanged")
+    else:
+        changes = _completed(target, replay.moved_values(target, changes, meta), meta)
+    flat = images(changes, meta).withColumn("_at", (F.col("seq") * 2 + F.col("part")).cast("long"))
+    writes = flat.filter("after IS NOT NULL").select("after.*", "_at").select(*columns, "_at")
+    rows = target.select(*columns, F.lit(-1).cast("long").alias("_at")).unionByName(writes)
+    # what ends a row: a later delete or update of its key, a later write that shares any whole key with it
+    named = flat.filter("op <> 'insert'").groupBy(*key).agg(F.max("_at").alias("_last"))
+    alive = _not_ended(rows, named, key, null_safe=bool(meta.nullable.intersection(key)))
+    for unique in meta.keys:
+        held = ~has_null(unique)
+        taken = writes.filter(held).groupBy(*unique).agg(F.max("_at").alias("_last"))
+        alive = _not_ended(alive, taken, list(unique))
+    return alive.select(*columns)
+
+
+def _not_ended(rows: DataFrame, ends: DataFrame, key: list[str], null_safe: bool = False) -> DataFrame:
+    """Rows without a later end of their key."""
+    names = [f"_k{n}" for n in range(len(key))]
+    ends = ends.select(*[F.col(c).alias(n) for c, n in zip(key, names, strict=True)], "_last")
+    cond = F.col("_at") < F.col("_last")
+    for c, n in zip(key, names, strict=True):
+        cond = cond & (F.col(c).eqNullSafe(F.col(n)) if null_safe else F.col(c) == F.col(n))
+    return rows.join(ends, cond, "left_anti")
+
+
+def _completed(target: DataFrame, changes: DataFrame, meta: TableMeta) -> DataFrame:
+    """Changes with all columns: the key's last sent value, else the target's."""
+    filled = fill_unchanged(changes, meta)
+    known = target.select(F.struct(*target.columns).alias("_old"), *[F.col(c).alias(f"_k{n}") for n, c in enumerate(meta.id_cols)])
+    cond = F.lit(True)
+    for n, c in enumerate(meta.id_cols):
+        cond = cond & F.col("after")[c].eqNullSafe(F.col(f"_k{n}"))
+    holes = F.size(F.coalesce("unchanged", F.array().cast("array<string>"))) > 0
+    met = filled.filter(holes & F.col("after").isNotNull()).join(known, cond, "left")
+    fields = changes.schema["after"].dataType.names
+    value = lambda c: F.when(F.array_contains("unchanged", c), F.col("_old")[c]).otherwise(F.col("after")[c]) if c in target.columns else F.col("after")[c]
+    met = met.withColumn("after", F.struct(*[value(c).alias(c) for c in fields])).select(*filled.columns)
+    return filled.filter(~holes | F.col("after").isNull()).unionByName(met).drop("unchanged")
 
 
 def insert_or_update_values(target: DataFrame, rows: DataFrame, meta: TableMeta, on_conflict: str = "update") -> DataFrame:

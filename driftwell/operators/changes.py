@@ -46,6 +46,11 @@ def reversed_changes(changes: DataFrame) -> DataFrame:
     return changes.withColumns({"op": op, "before": F.col("after"), "after": F.col("before")})
 
 
+def sends_all(changes: DataFrame) -> bool:
+    """Whether no row of the batch lacks a column; one look at the column ``unchanged``."""
+    return "unchanged" not in changes.columns or changes.filter(F.size("unchanged") > 0).isEmpty()
+
+
 def fill_unchanged(changes: DataFrame, meta: TableMeta) -> DataFrame:
     """Columns that the source did not send take the key's last sent value; ``unchanged`` keeps those never sent before."""
     key = [F.coalesce(F.col("after")[c], F.col("before")[c]) for c in meta.id_cols]

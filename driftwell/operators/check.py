@@ -73,14 +73,22 @@ def _digest(df: DataFrame, columns: Sequence[str]) -> Column:
 
 
 def by_digest(src: DataFrame, dst: DataFrame, meta: TableMeta, how: str = "left") -> DataFrame:
-    """What ``compared`` says of rows that do not agree, with full rows shuffled for their keys only."""
-    shared = [c for c in src.columns if c in dst.columns and c not in meta.id_cols]
+    """What ``compared`` says of rows that do not agree, with full rows shuffled for their keys only.
+
+    Where the target lacks a column of the source every row differs, and no digest can spare one.
+    """
+    if not set(src.columns) <= set(dst.columns):
+        return compared(src, dst, meta, how).filter("kind <> 'same'")
+    shared = [c for c in src.columns if c not in meta.id_cols]
     key = list(meta.id_cols)
     left = src.filter(~null_key(meta)).select(*key, _digest(src, shared).alias("_s"))
     right = dst.filter(~null_key(meta)).select(*key, _digest(dst, shared).alias("_d"))
     odd = left.join(right, key, "left" if how == "left" else "full").filter(~F.col("_s").eqNullSafe(F.col("_d"))).select(*key).distinct()
     some = lambda side: side.join(odd, key, "left_semi")
-    return compared(some(src), some(dst), meta, how).filter("kind <> 'same'")
+    asked = some(src)
+    if meta.nullable.intersection(key):
+        asked = asked.unionByName(src.filter(null_key(meta)))  # these are skipped, and said to be
+    return compared(asked, some(dst), meta, how).filter("kind <> 'same'")
 
 
 def missing(src: DataFrame, dst: DataFrame, meta: TableMeta) -> DataFrame:
@@ -100,11 +108,16 @@ def deleted_still_there(deletes: DataFrame, dst: DataFrame, meta: TableMeta) ->
 def applied(changes: DataFrame, target: DataFrame, meta: TableMeta) -> DataFrame:
     """A batch that has just been written, held against the target: its rows by key, and its deletes that are still there (stale).
 
-    Only the batch's keys are looked up.
+    Only the batch's keys are looked up, and of a row only the columns that were sent.  Rows with a null in the key are not looked up; a
+    table without a key cannot be.
     """
     net = compact(changes, meta)
-    want = net.filter("op = 'upsert'").select("after.*")
-    found = compared(want, target, meta)
+    alive = net.filter("op = 'upsert'")
+    found = compared(alive.select("after.*"), target, meta)
+    if "unsent" in net.columns:
+        key = list(meta.id_cols)
+        found = found.join(alive.select(*key, "unsent"), key, "left").withColumn("diff_cols", F.array_except("diff_cols", F.coalesce("unsent", F.array().cast("array<string>")))).drop("unsent")
+        found = found.withColumn("kind", F.when((F.col("kind") == "diff") & (F.size("diff_cols") == 0), "same").otherwise(F.col("kind")))
     there = deleted_still_there(net.filter("op = 'delete'"), target, meta)
     left = there.select(*meta.id_cols, F.lit("stale").alias("kind"), F.array().cast("array<string>").alias("diff_cols"), F.lit(None).cast(found.schema["src"].dataType).alias("src"), F.struct(*target.columns).alias("dst"))
     return found.unionByName(left)
@@ -232,7 +245,21 @@ def missing_target(src: DataFrame, meta: TableMeta) -> DataFrame:
     return compared(src, src.limit(0), meta)
 
 
-def routed_log(checked: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    """The compared columns under the source's names: ``names`` maps the target's to them."""
-    renamed = F.transform("diff_cols", lambda c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(names.items()) for x in kv]), c), c)) if names else F.col("diff_cols")
-    return checked.withColumn("diff_cols", F.array_sort(renamed))
+def under_names(checked: DataFrame, meta: TableMeta, names: Mapping[str, str]) -> DataFrame:
+    """What ``compared`` gives, with columns renamed by ``names`` in keys, images and ``diff_cols``: the target's names to the source's.
+
+    All are renamed at once, so names may be swapped.  A column that only the target has keeps its name, or goes if that is taken.
+    """
+    if not names:
+        return checked
+    new = {c: names.get(c, c) for c in checked.schema["src"].dataType.names}
+    others = [c for c in checked.schema["dst"].dataType.names if c not in new]
+    taken = set(new.values())
+    image = lambda name, pairs: F.when(F.col(name).isNotNull(), F.struct(*[F.col(name)[a].alias(b) for a, b in pairs])).alias(name)
+    known = checked.schema["dst"].dataType.names
+    renamed = F.transform("diff_cols", lambda c: F.element_at(F.create_map(*[F.lit(x) for pair in sorted(new.items()) for x in pair]), c))
+    return checked.select(
+        *[F.col(c).alias(new[c]) for c in meta.id_cols], "kind", F.array_sort(renamed).alias("diff_cols"), image("src", new.items()),
+        image("dst", [(a, b) for a, b in new.items() if a in known] + [(c, c) for c in others if c not in taken]),
+        *[c for c in checked.columns if c not in {*meta.id_cols, "kind", "diff_cols", "src", "dst"}],
+    )

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,17 +171,24 @@ def parse_dcl(text: str) -> str | None:
 
 
 def with_ddl(statements: DataFrame, column: str = "sql", dialect: str = "mysql") -> DataFrame:
-    """A row per statement: ddl_kind, ddl_schema, ddl_table.  Logs of statements are short, so rows go through Python."""
-    kind = T.ArrayType(T.StructType().add("ddl_kind", "string").add("ddl_schema", "string").add("ddl_table", "string"))
-
-    @F.udf(kind)
-    def parse(text):
-        try:
-            return [(d.kind, d.schema, d.table) for d in parse_ddl(text or "", dialect)]
-        except ValueError:
-            return []
-
-    return statements.select("*", F.inline(parse(column)))
+    """A row per statement: ddl_kind, ddl_schema, ddl_table; texts that are no DDL give none.  Texts go through Python in Arrow batches."""
+    names = ["ddl_kind", "ddl_schema", "ddl_table"]
+    schema = T.StructType([*statements.schema.fields, *(T.StructField(n, T.StringType()) for n in names)])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for i, text in enumerate(batch.column(batch.schema.get_field_index(column)).to_pylist()):
+                try:
+                    made = [(d.kind, d.schema, d.table) for d in parse_ddl(text or "", dialect)]
+                except ValueError:
+                    made = []
+                at += [i] * len(made)
+                found += made
+            rows = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array([d[k] for d in found], pa.string()) for k in range(3))], names=[*batch.schema.names, *names])
+
+    return statements.mapInArrow(parse, schema)
 
 
 def evolve(schema: T.StructType, ddl: Ddl, source: str = "mysql") -> T.StructType:

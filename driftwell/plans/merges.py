@@ -123,18 +123,21 @@ def apply_hard_delete(spark, d) -> DataFrame:
     return apply.delete_rows(customer, gone, meta_of(customer, "customer"))
 
 
-def apply_replace_multi_unique(spark, d) -> DataFrame:
-    """Suppliers take each other's names: whoever had the name goes."""
-    supplier = table(spark, d, "supplier")
-    meta = table_meta(supplier, "supplier", KEYS["supplier"], [("s_name",)], nullable=())
+def name_takers(supplier: DataFrame) -> DataFrame:
+    """Changes by which every fourth supplier takes the name of the next one."""
     names = supplier.select(F.col("s_suppkey").alias("_k"), F.col("s_name").alias("_name"))
     takers = supplier.filter("s_suppkey % 4 = 1").join(names, F.col("_k") == F.col("s_suppkey") + 1, "left")
     new = F.struct("s_suppkey", F.coalesce("_name", "s_name").alias("s_name"), "s_nationkey", "s_acctbal")
-    rows = takers.select(F.lit("update").alias("op"), F.col("s_suppkey").alias("seq"), F.struct(*supplier.columns).alias("before"), new.alias("after"))
-    return apply.replace_rows(supplier, rows, meta)
+    return takers.select(F.lit("update").alias("op"), F.col("s_suppkey").alias("seq"), F.struct(*supplier.columns).alias("before"), new.alias("after"))
+
+
+def apply_replace_multi_unique(spark, d) -> DataFrame:
+    """Suppliers take each other's names: whoever had the name goes."""
+    supplier = table(spark, d, "supplier")
+    return apply.replace_rows(supplier, name_takers(supplier), table_meta(supplier, "supplier", KEYS["supplier"], [("s_name",)], nullable=()))
 
 
-_MULTI = """SELECT s.s_suppkey, CASE WHEN s.s_suppkey % 4 = 1 THEN coalesce(n.s_name, s.s_name) ELSE s.s_name END AS s_name, s.s_nationkey, s.s_acctbal
+NAMES_TAKEN = """SELECT s.s_suppkey, CASE WHEN s.s_suppkey % 4 = 1 THEN coalesce(n.s_name, s.s_name) ELSE s.s_name END AS s_name, s.s_nationkey, s.s_acctbal
 FROM supplier s LEFT JOIN supplier n ON n.s_suppkey = s.s_suppkey + 1 WHERE s.s_suppkey % 4 <> 2"""
 
 
@@ -293,6 +296,70 @@ def partition_hash_counts(spark, d) -> DataFrame:
 _HASH = """SELECT ('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8))::BIGINT % 8 AS bucket, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1"""
 
 
+def _made(rows: DataFrame, *changes) -> DataFrame:
+    """(condition, op, seq, before, after, unsent) for each row that meets the condition, as changes."""
+    kind = rows.schema
+    none = F.lit(None).cast(kind)
+    image = lambda new: none if new is None else F.struct(*[new.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in kind])
+    one = lambda op, seq, before, after, unsent: F.struct(F.lit(op).alias("op"), F.lit(seq).cast("long").alias("seq"), image(before).alias("before"), image(after).alias("after"), F.array(*map(F.lit, unsent)).cast("array<string>").alias("unchanged"))
+    return rows.select(F.inline(F.array_compact(F.array(*[F.when(F.expr(cond), one(*rest)) for cond, *rest in changes]))))
+
+
+def apply_bag_stream(spark, d) -> DataFrame:
+    """A table without a key, with nulls: copies added, one of a value removed, one changed, more removed than there are."""
+    pairs = table(spark, d, "lineitem").select("l_orderkey", F.expr("nullif(l_linenumber, 3)").alias("n"))
+    up = {"n": F.coalesce("n", F.lit(0)) + 100}
+    rows = _made(
+        pairs.distinct(), ("l_orderkey % 13 = 0", "insert", 1, None, {}, ()), ("l_orderkey % 7 = 0", "delete", 2, {}, None, ()), ("l_orderkey % 11 = 0", "update", 3, {}, up, ()),
+        ("l_orderkey % 17 = 0", "delete", 4, {}, None, ()), ("l_orderkey % 17 = 0", "delete", 5, {}, None, ()), ("l_orderkey % 34 = 0", "insert", 6, None, {}, ()),
+    )
+    out = apply.apply_changes(pairs, rows, table_meta(pairs, "pairs"))
+    return out.groupBy("l_orderkey", "n").agg(F.count("*").alias("copies"))
+
+
+_BAG_STREAM = """WITH p AS (SELECT l_orderkey, nullif(l_linenumber, 3) AS n, count(*) AS c FROM lineitem GROUP BY 1, 2),
+a AS (SELECT *, greatest(c + CAST(l_orderkey % 13 = 0 AS BIGINT) - CAST(l_orderkey % 7 = 0 AS BIGINT), 0) AS c2 FROM p),
+b AS (SELECT *, greatest(c2 - CAST(l_orderkey % 11 = 0 AS BIGINT), 0) AS c3 FROM a),
+e AS (SELECT l_orderkey, n, greatest(c3 - 2 * CAST(l_orderkey % 17 = 0 AS BIGINT), 0) + CAST(l_orderkey % 34 = 0 AS BIGINT) AS copies FROM b)
+SELECT l_orderkey, n, copies FROM e WHERE copies > 0 UNION ALL SELECT l_orderkey, coalesce(n, 0) + 100, 1 FROM p WHERE l_orderkey % 11 = 0"""
+
+
+def apply_null_key(spark, d) -> DataFrame:
+    """A nullable key of two columns: rows with a null in it are added, changed and removed by what their key has."""
+    source = table(spark, d, "supplier")
+    rows = source.select(F.expr("CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey END").alias("k"), F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal"))
+    meta = table_meta(rows, "t", unique=[("k", "nation")], nullable=("k", "nation", "name", "bal"))
+    gone = {"name": F.lit("?"), "bal": F.lit(0.0)}
+    made = _made(
+        rows, ("k IS NULL AND nation % 2 = 0", "insert", 1, None, {"name": F.concat("name", F.lit("+"))}, ()), ("k % 4 = 0", "update", 2, {}, {"bal": F.col("bal") + 1}, ()),
+        ("k IS NULL AND nation % 5 = 1", "update", 3, {}, gone, ("bal",)), ("k IS NULL AND nation % 7 = 2", "delete", 4, {}, None, ()), ("k IS NULL AND nation % 7 = 2", "insert", 5, None, {}, ()),
+    )
+    return apply.apply_changes(rows, made, meta)
+
+
+_NULL_KEY = """WITH t AS (SELECT CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey END AS k, s_nationkey AS nation, s_name AS name, s_acctbal AS bal FROM supplier),
+n AS (SELECT * FROM t WHERE k IS NULL UNION ALL SELECT k, nation, name || '+', bal FROM t WHERE k IS NULL AND nation % 2 = 0)
+SELECT k, nation, name, bal + CAST(k % 4 = 0 AS INT) AS bal FROM t WHERE k IS NOT NULL
+UNION ALL SELECT k, nation, CASE WHEN nation % 5 = 1 THEN '?' ELSE name END, bal FROM n WHERE nation % 7 <> 2 UNION ALL SELECT k, nation, name, bal FROM t WHERE k IS NULL AND nation % 7 = 2"""
+
+
+def apply_unsent_columns(spark, d) -> DataFrame:
+    """Updates that leave columns out, of rows that stay, that go, and that move to another key."""
+    customer = table(spark, d, "customer")
+    gap, more = {"c_name": F.lit(None)}, F.col("c_acctbal") + 10
+    rows = _made(
+        customer, ("c_custkey % 5 = 0", "update", 1, gap, {**gap, "c_acctbal": more}, ("c_name",)),
+        ("c_custkey % 15 = 0", "update", 2, gap, {**gap, "c_acctbal": F.lit(None), "c_mktsegment": F.lit("S")}, ("c_name", "c_acctbal")),
+        ("c_custkey % 11 = 0", "update", 3, {c: F.lit(None) for c in customer.columns[1:]}, {**gap, "c_custkey": F.col("c_custkey") + 1_000_000, "c_acctbal": F.lit(None)}, ("c_name", "c_acctbal")),
+        ("c_custkey % 25 = 0", "delete", 4, {}, None, ()),
+    )
+    return apply.apply_changes(customer, rows, meta_of(customer, "customer")).select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+
+
+_UNSENT = """SELECT c_custkey + CASE WHEN c_custkey % 11 = 0 THEN 1000000 ELSE 0 END AS c_custkey, c_name, c_acctbal + CASE WHEN c_custkey % 5 = 0 THEN 10 ELSE 0 END AS c_acctbal,
+  CASE WHEN c_custkey % 15 = 0 AND c_custkey % 11 <> 0 THEN 'S' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 25 <> 0 OR c_custkey % 11 = 0"""
+
+
 def _sizes(spark, d, chunk=1000):
     rows = table(spark, d, "events").select(F.col("event_type").alias("tb"), F.expr(f"event_id div {chunk}").alias("chunk"), F.octet_length("props").alias("b"))
     return partition.group_sizes(rows, size="b")
@@ -322,13 +389,13 @@ _SNAP = CUSTOMER_AFTER
 QUERIES = {f.__name__: f for f in (
     merge_lww_events, merge_net_ops, merge_key_change, merge_unmerged_flag, merge_documents, merge_toast_fill, apply_replace, apply_update_only, apply_soft_delete_latest, apply_hard_delete,
     apply_replace_multi_unique, load_rows, inline_check, apply_insert_or_update_values, apply_bag_delete_one, apply_bag_update_one, snapshot_plus_cdc, undo_log, split_updates, before_from_key, drain_segments, replay_runs,
-    loop_filter, filter_events_time, last_positions, partition_hash_counts, partition_table_even, partition_auto_split,
+    loop_filter, filter_events_time, last_positions, partition_hash_counts, partition_table_even, partition_auto_split, apply_bag_stream, apply_null_key, apply_unsent_columns,
 )}
 SQL = {
     "merge_lww_events": _LWW, "merge_net_ops": _NET, "merge_key_change": _KEY_CHANGE, "merge_unmerged_flag": _UNMERGED, "merge_documents": _DOCS, "merge_toast_fill": _TOAST,
     "apply_replace": CUSTOMER_AFTER, "apply_update_only": CUSTOMER_AFTER, "apply_soft_delete_latest": _SOFT, "apply_hard_delete": "SELECT * FROM customer WHERE c_custkey % 7 <> 0",
-    "apply_replace_multi_unique": _MULTI, "load_rows": _LOAD, "inline_check": _INLINE, "apply_insert_or_update_values": _VALUES, "apply_bag_delete_one": _BAG_DELETE, "apply_bag_update_one": _BAG_UPDATE, "snapshot_plus_cdc": _SNAP,
+    "apply_replace_multi_unique": NAMES_TAKEN, "load_rows": _LOAD, "inline_check": _INLINE, "apply_insert_or_update_values": _VALUES, "apply_bag_delete_one": _BAG_DELETE, "apply_bag_update_one": _BAG_UPDATE, "snapshot_plus_cdc": _SNAP,
     "undo_log": _UNDO, "split_updates": _SPLIT, "before_from_key": _BEFORE, "drain_segments": _DRAIN, "replay_runs": _RUNS, "loop_filter": _LOOP, "filter_events_time": _TIME,
     "last_positions": "SELECT event_type, 'binlog.1:' || CAST(max(event_id) AS VARCHAR) AS position, max(event_id) AS seq FROM events GROUP BY event_type",
-    "partition_hash_counts": _HASH, "partition_table_even": _EVEN,
+    "apply_bag_stream": _BAG_STREAM, "apply_null_key": _NULL_KEY, "apply_unsent_columns": _UNSENT, "partition_hash_counts": _HASH, "partition_table_even": _EVEN,
 }

@@ -13,6 +13,7 @@ from ..sources.shared import scratch
 from ..streaming import tables, unresolved
 from . import task
 from .fixtures import CUSTOMER_AFTER, KEYS, LAST_EVENTS, ORDERS_TARGET, USER_META, customer_changes, customer_target, event_changes, orders_target, table
+from .merges import NAMES_TAKEN, name_takers
 
 
 def _arriving(rows: DataFrame, order: str, at: str, parts: int = 4) -> None:
@@ -128,9 +129,17 @@ def task_cdc(spark, d) -> DataFrame:
     return out["dw", "clients"]
 
 
-QUERIES = {f.__name__: f for f in (task_check, task_cdc, stream_apply_batches, stream_unresolved_state, stream_positions, jdbc_roundtrip, audited_stream_view)}
+def task_cdc_unique(spark, d) -> DataFrame:
+    """Suppliers take each other's unique names, through a task whose target writes by REPLACE."""
+    supplier = table(spark, d, "supplier")
+    meta = table_meta(supplier, "supplier", KEYS["supplier"], [("s_name",)], nullable=())
+    spec = task.TaskSpec.read("[filter]\ndo_tbs=main.supplier\n[sinker]\ndb_type=mysql\nreplace=true\n")
+    return task.cdc(spec, lambda s, t: name_takers(supplier), lambda s, t: supplier, [meta])["main", "supplier"]
+
+
+QUERIES = {f.__name__: f for f in (task_check, task_cdc, task_cdc_unique, stream_apply_batches, stream_unresolved_state, stream_positions, jdbc_roundtrip, audited_stream_view)}
 SQL = {
-    "task_check": _TASK_SQL, "task_cdc": f"SELECT c_custkey, c_name, c_nationkey, c_acctbal AS balance FROM ({CUSTOMER_AFTER})",
+    "task_check": _TASK_SQL, "task_cdc_unique": NAMES_TAKEN, "task_cdc": f"SELECT c_custkey, c_name, c_nationkey, c_acctbal AS balance FROM ({CUSTOMER_AFTER})",
     "stream_apply_batches": _STREAM, "stream_unresolved_state": _UNRESOLVED, "audited_stream_view": _STREAM, "jdbc_roundtrip": _JDBC,
     "stream_positions": "SELECT event_type, CAST(max(event_id) AS VARCHAR) AS position, max(event_id) AS seq FROM events GROUP BY event_type",
 }

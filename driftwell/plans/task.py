@@ -64,6 +64,17 @@ class TaskSpec:
         whole = lambda key: not gone.intersection(key)
         return TableMeta(schema, table, to(kept), to(meta.primary) if whole(meta.primary) else (), tuple(to(k) for k in meta.unique if whole(k)), frozenset(to(meta.nullable)))
 
+    def applied(self, target: DataFrame, changes: DataFrame, meta: TableMeta) -> DataFrame:
+        """The target after a batch: where MySQL's REPLACE writes, a written row takes every row that shares any unique key with it."""
+        if self.mode == "upsert" and self.dialect == "mysql" and len(meta.keys) > 1:
+            return apply.replace_rows(target, changes, meta)
+        return apply.apply_changes(target, changes, meta, "upsert" if meta.is_bag else self.mode)
+
+    def source_meta(self, meta: TableMeta, to: TableMeta, back: Mapping[str, str]) -> TableMeta:
+        """The target's meta under the source's names again."""
+        old = lambda cols: tuple(back.get(c, c) for c in cols)
+        return TableMeta(meta.schema, meta.table, old(to.columns), old(to.primary), tuple(old(k) for k in to.unique), frozenset(old(to.nullable)))
+
     def source_rows(self, read: Reader, meta: TableMeta) -> DataFrame:
         """A table's rows as the target shall have them; conditions and columns reach the scan."""
         rows = self.filter.prune(read(meta.schema, meta.table), meta.schema, meta.table)
@@ -92,7 +103,7 @@ def cdc(spec: TaskSpec, changes: Reader, targets: Reader, metas: Iterable[TableM
         rows = spec.router.rename_images(rows, m.schema, m.table)
         if spec.hook:
             rows = spec.hook(rows, to)
-        out[to.schema, to.table] = apply.apply_changes(targets(to.schema, to.table), rows, to, spec.mode)
+        out[to.schema, to.table] = spec.applied(targets(to.schema, to.table), rows, to)
     return out
 
 
@@ -105,15 +116,16 @@ def check_tables(spec: TaskSpec, sources: Reader, targets: Reader, metas: Iterab
         to = spec.target_meta(m)
         src = check.sampled(spec.source_rows(sources, m), to, spec.sample_percent)
         one = check.compared(src, targets(to.schema, to.table), to, network=spec.network_columns.get((m.schema, m.table), ()), consume=to.is_bag)
-        back = spec.router.reverse().columns.get((to.schema, to.table), {})
+        if spec.revise:
+            one = one.withColumn("_statement", revise_sql(to, kinds_of(src.schema), spec.dialect, spec.match_full_row))
+        back = {new: old for new, old in spec.router.reverse().columns.get((to.schema, to.table), {}).items() if new in src.columns}
+        named = spec.source_meta(m, to, back)
+        one = check.under_names(one, to, back)
         target = (to.schema, to.table) if (to.schema, to.table) != (m.schema, m.table) else None
-        named = TableMeta(m.schema, m.table, to.columns, to.primary, to.unique, to.nullable)
         line = F.when(F.col("kind").isin("miss", "diff"), check.log_lines(one, named, target, spec.full_rows))
-        for new, old in back.items():
-            line = F.replace(line, F.lit(f'"{new}":'), F.lit(f'"{old}":'))
         columns = [F.lit(m.schema).alias("schema"), F.lit(m.table).alias("tb"), "kind", line.alias("line")]
         if spec.revise:
-            columns.append(revise_sql(to, kinds_of(src.schema), spec.dialect, spec.match_full_row).alias("statement"))
+            columns.append(F.col("_statement").alias("statement"))
         rows = one.select(*columns)
         found = rows if found is None else found.unionByName(rows)
     if found is None:

@@ -9,9 +9,14 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder below the session's ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """A new folder below the session's ``spark.checkpoint.dir``.
+
+    Without that setting a local session gets a temporary folder; on a cluster, where executors would write what others can't read, it is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="driftwell-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

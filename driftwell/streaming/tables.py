@@ -1,7 +1,8 @@
 """Change streams into tables, with restarts that neither lose nor repeat a batch.
 
-``ChangeTable`` keeps a base and a log of net effects, one folder per micro-batch: a batch writes what it changes, never the table,
-and writing it again gives the same folder.  Reads merge the two; ``fold`` makes a new base now and then.
+``ChangeTable`` keeps a base and a log of changes, one folder per micro-batch: a batch writes what it changes, never the table,
+and writing it again gives the same folder.  Changes that merge are written merged, a row per key; rows of a table without a key, rows with a
+null in the key, and batches with columns not sent are written as they came.  Reads apply the log to the base; ``fold`` makes a new base now and then.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..meta import TableMeta
-from ..operators.changes import last_positions
-from ..operators.merge import compact
+from ..operators.apply import apply_changes
+from ..operators.changes import last_positions, sends_all
+from ..operators.merge import compact, has_null, images
 
 
 def _folders(spark: SparkSession, path: str) -> dict[int, str]:
@@ -44,9 +46,29 @@ class ChangeTable:
 
     def append(self, changes: DataFrame, batch: int) -> None:
         """For ``foreachBatch``: the net effect of a micro-batch and its last position; a repeated batch replaces its folder."""
-        net = compact(changes, self.meta)
-        key = F.struct(*[F.col(c).alias(c) for c in self.meta.id_cols])
-        net.select(key.alias("k"), "op", "after", "seq").write.mode("overwrite").parquet(f"{self.path}/log/batch={batch}")
+        self._merged(changes).write.mode("overwrite").parquet(f"{self.path}/log/batch={batch}")
+
+    def _merged(self, changes: DataFrame) -> DataFrame:
+        """The batch as changes with the same effect, as few as can be."""
+        none, no_image = F.array().cast("array<string>"), F.lit(None).cast(self.columns)
+        whole = lambda name: F.when(F.col(name).isNotNull(), F.struct(*[F.col(name)[f.name].cast(f.dataType).alias(f.name) for f in self.columns]))
+        unsent = F.coalesce("unchanged", none) if "unchanged" in changes.columns else none
+        asis = changes.select("op", "seq", whole("before").alias("before"), whole("after").alias("after"), unsent.alias("unchanged"))
+        if self.meta.is_bag or not sends_all(changes):
+            return asis
+        key = list(self.meta.id_cols)
+        net = compact(changes.drop("unchanged"), self.meta)
+        own = F.struct(*[(F.col(f.name) if f.name in key else F.lit(None).cast(f.dataType)).alias(f.name) for f in self.columns])
+        gone = F.col("op") == "delete"
+        rows = net.select(
+            F.when(gone, "delete").otherwise("insert").alias("op"), "seq", F.when(gone, own).otherwise(no_image).alias("before"),
+            whole("after").alias("after"), none.alias("unchanged"),
+        )
+        if not self.meta.nullable.intersection(key):
+            return rows
+        flat = images(changes.drop("unchanged"), self.meta).filter(has_null(key))
+        odd = flat.select("op", "seq", F.when(F.col("op") != "insert", own).otherwise(no_image).alias("before"), whole("after").alias("after"), none.alias("unchanged"))
+        return rows.unionByName(odd)
 
     def _log(self, after: int) -> DataFrame | None:
         parts = [f for n, f in sorted(_folders(self.spark, f"{self.path}/log").items()) if n > after]
@@ -60,10 +82,7 @@ class ChangeTable:
         log = self._log(last)
         if log is None:
             return base
-        key = list(self.meta.id_cols)
-        net = log.select("k.*", "op", "after", "seq").groupBy(*key).agg(F.max_by(F.struct("op", "after"), "seq").alias("v"))
-        kept = base.join(net.select(*key), key, "left_anti").select(*self.meta.columns)
-        return kept.unionByName(net.filter("v.op = 'upsert'").select("v.after.*").select(*self.meta.columns))
+        return apply_changes(base.select(*self.meta.columns), log, self.meta).select(*self.meta.columns)
 
     def fold(self) -> None:
         """A new base with all batches so far; older folders stay until they are removed, so running reads go on."""
@@ -82,7 +101,7 @@ class ChangeTable:
 
 
 def record_positions(path: str, key: Sequence[str]):
-    """For ``foreachBatch``: the last position of each key, a folder per batch; ``positions`` reads the newest."""
+    """For ``foreachBatch``: the last position of each key, a folder per batch; ``positions`` reads the newest by ``seq``."""
 
     def write(batch: DataFrame, number: int) -> None:
         last_positions(batch, key).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -91,6 +110,7 @@ def record_positions(path: str, key: Sequence[str]):
 
 
 def positions(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
+    """The last position of each key, by the order of commits: files that arrive together may be read in any order of batches."""
     parts = sorted(_folders(spark, path).items())
     rows = spark.read.parquet(*[f for _, f in parts])
-    return rows.groupBy(*key).agg(F.max_by(F.struct("position", "seq"), "batch").alias("p")).select(*key, "p.*")
+    return rows.groupBy(*key).agg(F.max_by(F.struct("position", "seq"), "seq").alias("p")).select(*key, "p.*")
