@@ -9,22 +9,26 @@ for each source (and cluster) the residuals at which every bin has it.  The lowe
 upward, of those in use and not blocked, is the next residual to look at; each bin carries a bitmap of its sources
 and of its clusters, and the search goes to the successor until a compatible bin is found.
 
-Pieces are dealt to shards by a hash of id, length and cluster; a shard's size is about ``SHARD_PIECES`` whatever the input,
-so the work is linear in it and a hot source is spread evenly.  Only lengths and keys are shuffled.
+Duplicate clusters are the classes of linked fingerprints (``simhash``) by default.
+
+Pieces are dealt to shards by a hash of id, length and cluster, rows that agree on these by their place as well; a shard's size is about
+``SHARD_PIECES`` whatever the input, so the work is linear in it and a hot source, cluster or repeated row is spread evenly.  Only lengths
+and keys are shuffled.
 
 Defined results: a null or blank text has no words and gets one empty piece, which needs no room but keeps the rules;
-a null source or cluster conflicts with nothing; rows that repeat an id share its cluster (same text) and so never share a bin;
-ties go to the smaller id, then the bin opened first; an empty table gives an empty table.
+a null source or cluster conflicts with nothing; rows that repeat an id and text are of one cluster and so never share a bin, full pieces included;
+ties go to the smaller id, null last, then the bin opened first; a very long text gives as many full pieces as it fills; other columns of the
+input, whatever their names, are neither read nor returned; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, sql_name
+from . import simhash
+from .common import WORD_GAP, positional, stash
 
 CAPACITY = 2048
 SHARD_PIECES = 4000
@@ -142,37 +146,47 @@ def pack_shard(sizes: list[int], sources: list, clusters: list, capacity: int) -
     return [shelf.put(n, s, c) for n, s, c in zip(sizes, _numbered(sources), of, strict=True)]
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``_id, _source, _n, _class`` of each row: its words and its near-duplicate class; texts are read once."""
+    rows = positional(docs)
+    src = rows.frame.select(rows[id_col].alias("_id"), rows[source_col].cast("string").alias("_source"), word_count(rows[text_col]).cast("long").alias("_n"), rows[text_col].alias("_text"))
+    hashed = stash(simhash.fingerprints(src, "_text"), "packing-fingerprints")
+    return simhash.classes(hashed, "_id", keep_class=True).select("_id", "_source", "_n", "_class")
+
+
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """One row per piece: the id, source, piece, first_word, n_words, shard, bin.
 
-    ``cluster``: an expression over ``docs`` for the duplicate cluster; by default a hash of the text, so exact copies are
-    kept apart.  (shard, bin) names a bin; a piece that fills a bin by itself has bin -1 - piece and a shard of its own id's hash.
+    ``cluster_col``: a column with the duplicate cluster; by default the near-duplicate class of ``clustered``.  (shard, bin) names a bin;
+    a piece that fills a bin by itself has bin -1 - piece and a negative shard of its row's own.
     """
-    text = F.coalesce(F.col(sql_name(text_col)), F.lit(""))
-    of = F.xxhash64(text) if cluster is None else cluster
-    rows = docs.select(F.col(sql_name(id_col)).alias("_id"), F.col(sql_name(source_col)).cast("string").alias("_source"), of.cast("long").alias("_cluster"), word_count(text).cast("long").alias("_n"))
-    n_rows = docs.count()
-    shards = max(1, -(-n_rows // shard_pieces))
-    shard = F.pmod(F.xxhash64("_id", "_n", "_cluster"), F.lit(shards)).alias("shard")
+    if cluster_col is None:
+        rows = clustered(docs, id_col, text_col, source_col).withColumnRenamed("_class", "_cluster")
+    else:
+        of = positional(docs)
+        cluster = of[cluster_col]
+        kind = of.frame.schema[f"c{of.place(cluster_col)}"].dataType.typeName()
+        number = cluster.cast("long") if kind in ("byte", "short", "integer", "long") else F.when(cluster.isNotNull(), F.xxhash64(cluster))
+        rows = of.frame.select(of[id_col].alias("_id"), of[source_col].cast("string").alias("_source"), word_count(of[text_col]).cast("long").alias("_n"), number.alias("_cluster"))
+    rows = stash(rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_h", F.xxhash64("_id", "_n", "_cluster")), "packing-rows")
+    repeats = stash(rows.groupBy("_h").agg(F.count("*").alias("_times")).filter("_times > 1"), "packing-repeats")
+    rows = rows.join(repeats.hint("merge"), "_h", "left")
+    shards = max(1, -(-rows.count() // shard_pieces))
+    shard = F.pmod(F.xxhash64("_h", F.when(F.col("_times").isNotNull(), F.col("_at")).otherwise(0)), F.lit(shards)).alias("shard")
     whole = (F.col("_n") / capacity).cast("long")
     pieces = F.when((F.col("_n") % capacity > 0) | (F.col("_n") == 0), F.sequence(F.lit(0).cast("long"), whole)).otherwise(F.sequence(F.lit(0).cast("long"), whole - 1))
-    each = rows.select("*", shard, F.explode(pieces).alias("piece")).withColumn("n_words", F.least(F.lit(capacity), F.col("_n") - F.col("piece") * capacity))
+    each = rows.select("_id", "_source", "_n", "_cluster", "_at", shard, F.explode(pieces).alias("piece")).withColumn("n_words", F.least(F.lit(capacity), F.col("_n") - F.col("piece") * capacity))
     each = each.withColumn("first_word", F.col("piece") * capacity)
-    full = each.filter(F.col("n_words") == capacity).select("_id", "_source", "piece", "first_word", "n_words", F.xxhash64("_id", "_n", "_cluster").alias("shard"), (-1 - F.col("piece")).alias("bin"))
-    part = each.filter(F.col("n_words") < capacity).select("shard", "_id", "_source", "_cluster", "piece", "first_word", "n_words")
+    full = each.filter(F.col("n_words") == capacity).select("_id", "_source", "piece", "first_word", "n_words", (-1 - F.col("_at")).alias("shard"), (-1 - F.col("piece")).alias("bin"))
+    part = each.filter(F.col("n_words") < capacity).select("shard", "_id", "_source", "_cluster", "_at", "piece", "first_word", "n_words")
     schema = part.select("_id", "_source", "piece", "first_word", "n_words", "shard").schema.add("bin", "long")
 
     def fill(table: pa.Table) -> pa.Table:
-        ids = table.column("_id").to_pylist()
-        n = table.column("n_words").to_numpy()
-        pieces_of = table.column("piece").to_numpy()
-        missing = np.array([x is None for x in ids])
-        plain = np.array([0 if x is None else x for x in ids]) if not isinstance(next((x for x in ids if x is not None), 0), str) else np.array([x or "" for x in ids])
-        clusters, sources = table.column("_cluster").to_pylist(), table.column("_source").to_pylist()
-        order = np.lexsort((pieces_of, plain, missing, -n))
-        bins = np.empty(len(ids), np.int64)
-        bins[order] = pack_shard(n[order].tolist(), [sources[i] for i in order], [clusters[i] for i in order], capacity)
-        return table.select(["_id", "_source", "piece", "first_word", "n_words", "shard"]).append_column("bin", pa.array(bins))
+        # nulls come last
+        order = pa.compute.sort_indices(table, sort_keys=[("n_words", "descending"), ("_id", "ascending"), ("_at", "ascending"), ("piece", "ascending")])
+        table = table.take(order)
+        bins = pack_shard(table.column("n_words").to_pylist(), table.column("_source").to_pylist(), table.column("_cluster").to_pylist(), capacity)
+        return table.select(["_id", "_source", "piece", "first_word", "n_words", "shard"]).append_column("bin", pa.array(bins, pa.int64()))
 
     filled = part.groupBy("shard").applyInArrow(fill, schema)
     return full.union(filled.select(*full.columns)).select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "piece", "first_word", "n_words", "shard", "bin")

@@ -13,7 +13,8 @@ member loses no component and adds none.
 
 Defined results: null, empty and blank texts have fingerprint 0 and are linked with each other; a null doc_id
 takes part, but is never the name of a component unless it has no other; repeated rows are one class;
-ties cannot occur (the smallest id is unique); an empty table gives an empty table.
+ties cannot occur (the smallest id is unique); very long texts are hashed whole; columns named like a result (in any case) are replaced, all
+others come back whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import components, sql_name, stash
+from .common import components, positional, stash
 
 BLOCKS, BITS = 4, 16
 GROUP = 32
@@ -50,20 +51,17 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3, seed: int = 42, keep_text: bool = False) -> DataFrame:
-    """``docs`` with ``fp`` (long, the 64 bits); the text goes unless it is asked for."""
-    others = [c for c in docs.columns if c not in (text_col, "fp")]
-    src = docs.select(*[F.col(sql_name(c)) for c in others], F.col(sql_name(text_col)).cast("binary").alias(text_col))
-    schema = (src if keep_text else src.drop(text_col)).schema.add("fp", "long")
+def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
+    """``docs`` without the text, with ``fp`` (long, the 64 bits)."""
+    rows = positional(docs, ["fp"], [text_col])
+    src = rows.frame.select(rows.row(), rows[text_col].cast("binary").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            fps = np.fromiter((fingerprint(x.as_py(), shingle, seed) for x in texts), np.uint64, batch.num_rows)
-            kept = batch.columns if keep_text else batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(fps.view(np.int64))], schema=pa.schema([*batch.schema][: len(kept)]).append(pa.field("fp", pa.int64())))
+            fps = np.fromiter((fingerprint(x.as_py(), shingle, seed) for x in batch.column(1)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["_row", "fp"])
 
-    return src.mapInArrow(run, schema)
+    return rows.back(src.mapInArrow(run, src.select("_row").schema.add("fp", "long")), "fp")
 
 
 def _keys(fps: DataFrame) -> DataFrame:
@@ -98,19 +96,21 @@ def classes(hashed: DataFrame, id_col: str = "doc_id", keep_class: bool = False)
 
     Classes may share a ``component_id`` (null or repeated ids); ``_class``, the smallest linked fingerprint, tells them apart if asked for.
     """
-    id_name = sql_name(id_col)
-    first = stash(hashed.groupBy("fp").agg(F.min(id_name).alias("_low")), "simhash-first")
-    linked = link_classes(first.select("fp"))
-    of = first.join(linked.hint("merge"), "fp", "left").select("fp", "_low", F.coalesce("class", "fp").alias("_class"))
-    lowest = of.groupBy("_class").agg(F.min("_low").alias("component_id"))
-    of = stash(of.join(lowest.hint("merge"), "_class").select("fp", "component_id", *["_class"][: int(keep_class)]), "simhash-classes")
-    return hashed.join(of.hint("merge"), "fp")
+    made = ["component_id", *["_class"][: int(keep_class)]]
+    rows = positional(hashed, made)
+    src = rows.frame.select(rows.row(), rows[id_col].alias("_id"), rows["fp"].alias("_fp"))
+    first = stash(src.groupBy("_fp").agg(F.min("_id").alias("_low")), "simhash-first")
+    linked = link_classes(first.select(F.col("_fp").alias("fp"))).withColumnRenamed("fp", "_fp")
+    of = stash(first.join(linked.hint("merge"), "_fp", "left").select("_fp", "_low", F.coalesce("class", "_fp").alias("_class")), "simhash-classes")
+    # written before they are joined: adaptive execution then splits a large class
+    lowest = stash(of.groupBy("_class").agg(F.min("_low").alias("component_id")), "simhash-lowest")
+    of = stash(of.join(lowest.hint("merge"), "_class").select("_fp", *made), "simhash-components")
+    return rows.back(src.join(of.hint("merge"), "_fp"), *made)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``docs`` without the text, with ``fp`` and ``component_id``; columns of these names are replaced."""
-    src = docs.drop("component_id")
-    return classes(stash(fingerprints(src, text_col, shingle), "simhash"), id_col)
+    return classes(stash(fingerprints(docs, text_col, shingle), "simhash"), id_col)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -118,11 +118,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that repeat the smallest id (or all lack one) are told apart by their place in the written table.
     """
-    names = docs.columns
-    held = docs.select(F.struct(*[F.col(sql_name(c)) for c in names]).alias("_row"))
-    src = held.select(F.col("_row")[id_col].alias("_id"), F.monotonically_increasing_id().alias("_at"), F.col("_row")[text_col].alias("_text"), "_row")
-    hashed = stash(fingerprints(src, "_text", shingle), "simhash")
-    of = classes(hashed.select("_id", "_at", "fp"), "_id", keep_class=True)
+    rows = positional(docs)
+    held = stash(rows.frame.select(F.monotonically_increasing_id().alias("_at"), rows.row(), rows[id_col].alias("_id"), rows[text_col].alias("_text")), "simhash-rows")
+    of = classes(stash(fingerprints(held.select("_id", "_at", "_text"), "_text", shingle), "simhash"), "_id", keep_class=True)
     first = F.struct(F.col("_id").isNull().alias("n"), F.col("_id"), F.col("_at"))
     kept = of.groupBy("_class").agg(F.min(first).alias("k")).select(F.col("k._at").alias("_at"))
-    return hashed.join(kept.hint("merge"), "_at", "left_semi").select("_row.*")
+    return rows.back(held.join(kept.hint("merge"), "_at", "left_semi"))
