@@ -14,17 +14,23 @@ email   local@domain                                  replaced: a keyed digest @
 
 What fails its validation stays as it is.  Letters, separators and the rest of the text never change.
 
-Defined results: a null text stays null with no find; an empty one stays empty; repeated rows give equal
+The key is a secret of the caller's: ``pseudonymised`` takes it as a parameter and has no default.  It stands in the plan as a literal, so a
+cluster that shows plans to others should cover it (``spark.sql.redaction.string.regex``).
+
+Defined results: a null text stays null with no find; an empty one stays empty; very long texts are rewritten whole; repeated rows give equal
 results; overlaps go to the leftmost match, ties to the order in ``PATTERN``; an empty table gives an empty table; an input column
-``n_private`` is replaced.
+``n_private`` (in any case) is replaced, all others come back whatever their names.
 """
 
 from __future__ import annotations
 
+import secrets
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sql_name
+from .common import positional
 
 ROUNDS = 10
 EMAIL_DOMAIN = "example.org"
@@ -153,17 +159,32 @@ def pseudonym(key: str, m: Column) -> Column:
 
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the text rewritten and ``n_private`` (long), the number of values replaced."""
-    name = sql_name(text_col)
-    text = F.col(name)
-    step = docs.drop("n_private").withColumn("_found", F.when(text.rlike("[0-9]|@"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
-    step = step.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(key, m))))
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    rows = positional(docs, ["n_private"])
+    at = rows.place(text_col)
+    text = F.col("text")
+    step = rows.frame.select(rows.row(), rows[text_col].alias("text"))
+    step = step.withColumn("found", F.when(text.rlike("[0-9]|@"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
+    step = step.withColumn("new", F.when(F.size("found") > 0, F.transform("found", lambda m: pseudonym(key, m))))
     parts = F.split(text, PATTERN, -1)
-    spliced = F.concat(parts[0], F.array_join(F.zip_with("_new", F.slice(parts, F.lit(2), F.size("_new")), lambda m, p: F.concat(m, p)), ""))
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-    step = step.withColumn("n_private", F.when(F.col("_new").isNotNull(), changed).otherwise(0).cast("long"))
-    return step.withColumn(text_col, F.when(F.col("n_private") > 0, spliced).otherwise(text)).drop("_found", "_new")
+    spliced = F.concat(parts[0], F.array_join(F.zip_with("new", F.slice(parts, F.lit(2), F.size("new")), lambda m, p: F.concat(m, p)), ""))
+    changed = F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x))
+    step = step.withColumn("n_private", F.when(F.col("new").isNotNull(), changed).otherwise(0).cast("long"))
+    out = F.when(F.col("n_private") > 0, spliced).otherwise(text)
+    return step.select(*[(out if n == at else F.col("_row")[f"c{n}"]).alias(rows.names[n]) for n in rows.kept], "n_private")
+
+
+@lru_cache(maxsize=1)
+def _own_key(application: str) -> str:
+    return secrets.token_hex(32)
 
 
 def session_key(docs: DataFrame) -> str:
-    """The key that the session holds under ``driftwell.pii.key``; a fixed one for trials where it holds none."""
-    return docs.sparkSession.conf.get(KEY_SETTING, "driftwell-trial-key")
+    """The key that the session holds under ``driftwell.pii.key``.
+
+    Where it holds none, a random one that is kept for the application and nowhere else: values stay linked within it, and nobody can undo
+    the pseudonyms, but another application gives other ones.
+    """
+    spark = docs.sparkSession
+    return spark.conf.get(KEY_SETTING, None) or _own_key(spark.sparkContext.applicationId)

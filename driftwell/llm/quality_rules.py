@@ -5,8 +5,8 @@
 lies within its bounds (null: not judged).
 
 Defined results: a null text has no words and fails the base rule; an empty text too.
-Ties do not occur, repeated rows are judged each for itself, an empty table gives an empty
-table.  Columns of the input that bear the name of a measure are replaced by it.
+Ties do not occur, repeated rows are judged each for itself, very long texts are measured whole, an empty table gives an empty
+table.  Columns of the input that bear the name of a measure (in any case) are replaced by it; all others come back whatever their names.
 
 Windows of five words are compared by their 64-bit hashes within one document.
 """
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, sql_name
+from .common import WORD_GAP, positional
 
 GAP_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -54,11 +54,11 @@ def _with_windows(df: DataFrame) -> DataFrame:
     return df.withColumn("_h", F.when(n >= WINDOW, F.slice("_h", F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1)))).otherwise(F.array().cast("array<bigint>")))
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_bullet_lines, n_stop_words."""
-    text = F.coalesce(F.col(sql_name(text_col)), F.lit(""))
-    made = ["_t", "_w", "_l", "_h", "_s", "_d"]
-    step = docs.withColumn("_t", text)
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_bullet_lines", "n_stop_words")
+
+
+def _measured(step: DataFrame) -> DataFrame:
+    """``step`` (_row, _t) with the measures in place of the text."""
     step = step.withColumn("_w", F.split(F.btrim("_t", F.lit(GAP_CHARS)), WORD_GAP))
     step = step.withColumn("_w", F.when(F.element_at("_w", 1) == "", F.array().cast("array<string>")).otherwise(F.col("_w")))
     step = step.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: F.length(F.btrim(x, F.lit(GAP_CHARS))) > 0))
@@ -79,7 +79,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     cover = F.aggregate(F.zip_with("_d", follow, lambda a, b: F.least(b - a, F.lit(WINDOW))), F.lit(0), lambda s, x: s + x)
     words, lines = F.col("_w"), F.col("_l")
     stop = sorted({x for w in STOP_WORDS for x in (w, w.capitalize())})
-    out = step.withColumns({
+    return step.select("_row", *[x.alias(k) for k, x in {
         "n_words": F.size(words).cast("long"),
         "word_chars": F.length(F.array_join(words, "")).cast("long"),
         "n_symbols": F.regexp_count("_t", F.lit("[" + SYMBOLS + "]")).cast("long"),
@@ -88,8 +88,13 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_repeat_words": F.when(F.size("_d") > 0, cover).otherwise(F.lit(0)).cast("long"),
         "n_bullet_lines": F.size(F.filter(lines, lambda x: F.ltrim(x).rlike("^[-*•|]"))).cast("long"),
         "n_stop_words": F.size(F.filter(words, lambda x: x.isin(stop))).cast("long"),
-    })
-    return out.drop(*made)
+    }.items()])
+
+
+def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with the columns in ``MEASURES``."""
+    rows = positional(docs, MEASURES)
+    return rows.back(_measured(rows.frame.select(rows.row(), F.coalesce(rows[text_col], F.lit("")).alias("_t"))), *MEASURES)
 
 
 def base_failed() -> Column:
@@ -110,14 +115,19 @@ def verdict(rules=None) -> Column:
 
 def judged(docs: DataFrame, text_col: str = "text", rules=None) -> DataFrame:
     """``measured`` with ``base_failed`` and ``kept``."""
-    out = measured(docs, text_col).withColumn("base_failed", base_failed())
+    made = (*MEASURES, "base_failed", "kept")
+    rows = positional(docs, made)
+    return rows.back(_judged(rows.frame.select(rows.row(), F.coalesce(rows[text_col], F.lit("")).alias("_t")), rules), *made)
+
+
+def _judged(step: DataFrame, rules=None) -> DataFrame:
+    out = _measured(step).withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules=None) -> DataFrame:
     """The rows that pass, with the columns of the input."""
-    names = docs.columns
-    held = docs.select(F.struct(*[F.col(sql_name(c)) for c in names]).alias("_row"))
-    flat = held.select("_row", F.col("_row")[text_col].alias("_text"))
+    rows = positional(docs)
+    out = _judged(rows.frame.select(rows.row(), F.coalesce(rows[text_col], F.lit("")).alias("_t")), rules)
     # a filter on ``kept`` would be pushed below the projections and repeat their expressions at each use; a generator is not
-    return judged(flat, "_text", rules).select(F.inline(F.when(F.col("kept"), F.array("_row"))))
+    return rows.back(out.select(F.inline(F.when(F.col("kept"), F.array(F.struct("_row"))))))

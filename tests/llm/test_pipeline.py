@@ -2,9 +2,10 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 from driftwell.llm import packing, pii, quality_rules
 
-from . import brute, test_pii
+from . import brute, test_near_copies, test_pii
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,8 +33,7 @@ def quality(text):
 
 def expected(rows):
     rows = [r for r in rows if r[1] is not None and quality(r[1])]
-    of = {d: c for d, _, c in brute.simhash(rows, 5)}
-    rows = [r for r in rows if of[r[0]] == r[0]]
+    rows = test_near_copies.expected(rows)
     out = {}
     first = {}
     for d, t in sorted(rows):
@@ -50,8 +50,14 @@ def expected(rows):
     return out
 
 
-def test_stages_against_plain_python(spark, monkeypatch):
-    monkeypatch.setattr(test_pii, "KEY", "driftwell-trial-key")
+@pytest.fixture
+def key(spark):
+    spark.conf.set(pii.KEY_SETTING, test_pii.KEY)
+    yield
+    spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_stages_against_plain_python(spark, key):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     for _, stage in corpus_pipeline.STAGES[:-1]:
@@ -72,7 +78,6 @@ def test_stages_against_plain_python(spark, monkeypatch):
     for r in pieces:
         room[r.shard, r.bin] += r.n_words
     assert max(room.values()) <= packing.CAPACITY
-    assert pii.KEY_SETTING
 
 
 def test_empty_documents_and_nulls(spark):
