@@ -268,7 +268,7 @@ def _stars(edges: DataFrame) -> DataFrame:
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
-            if size >= JOINED_EDGES:
+            if size >= 2 * JOINED_EDGES:
                 yield star()
                 held, size = [], 0
         if size:
@@ -280,18 +280,22 @@ def _stars(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; component is the smallest node reachable.
 
-    Each task first joins the edges it holds.  Then large-star and small-star steps in turn, until every node has one edge, to
+    Tasks of ``JOINED_EDGES`` edges first join what they hold.  Then large-star and small-star steps in turn, until every node has one edge, to
     a node that has none: each step keeps at most a row per edge, takes the minimum of a node's neighbours with a map-side combine, and is
     written to the shared folder; the driver sees two counts per round.  The minima are written before they are joined: then both
     sides of the join are plain shuffles, and adaptive execution splits the rows of a node with very many neighbours.
     """
     start = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    cur = stash(_stars(start.distinct()).distinct(), "edges")
+    start = stash(start.distinct(), "edges")
+    parts = 1 + start.count() // JOINED_EDGES
+    cur = stash(_stars(start.coalesce(parts)), "edges")
 
     def lowest(sym: DataFrame) -> DataFrame:
         return stash(sym.groupBy("u").agg(F.min("v").alias("m")), "lowest")
 
     def settled() -> bool:
+        if parts == 1:
+            return True  # one task has seen every edge
         if not cur.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
             return False
         return cur.select("u").join(cur.select(F.col("v").alias("u")).distinct().hint("merge"), "u", "left_semi").isEmpty()

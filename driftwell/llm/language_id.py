@@ -3,13 +3,13 @@
 A known word scores by its log frequency in each language.  An unseen word is read as
 n-grams of five characters (its ends marked); if none is known, of four, and so on down to one.
 
-The model is fitted on a bounded sample: at most about ``SAMPLE_DOCS`` labelled documents of each language, picked by
-a hash of their id, give counts; at most ``WORDS`` words and ``GRAMS`` n-grams of each length and language
-stay, those above a frequency threshold found from a histogram.  Its size does not depend on the input.  Every text is scored whole.
+The model is fitted on a bounded sample: about ``SAMPLE_DOCS`` labelled documents of each language, picked by
+a hash of their id, give counts.  All words and n-grams of the sample stay, so the model's size is bounded by the sample's.  A column with more than
+``MOST_LANGUAGES`` distinct labels is refused, as it is no language column.  Every text is scored whole, however long.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; with no labelled document everything is ``und``;
 ties go to the alphabetically first language; repeated rows score alike; an empty table gives an empty table;
-input columns named like a result are replaced.
+input columns named like a result (in any case) are replaced, all others come back whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sql_name
+from .common import positional, sql_name
 
 SAMPLE_DOCS = 2500
-WORDS, GRAMS = 20000, 6000
+MOST_LANGUAGES = 500
 LONGEST = 5
 PRIOR = 0.5
 _word = regex.compile(r"\p{L}+").findall
@@ -71,26 +71,27 @@ def _counts(labelled: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Tables of scores: for each kind, gram to a row of log frequencies, one per language."""
+    """Log frequencies: for each kind a number for each gram, and a row of ``scores`` by that number, one column per language."""
 
     CACHE = 1 << 17
 
-    def __init__(self, langs: list[str], tables: list[dict[str, np.ndarray]]):
-        self.langs, self.tables = langs, tables
+    def __init__(self, langs: list[str], grams: list[list[str]], scores: list[np.ndarray]):
+        self.langs, self.grams, self.scores = langs, grams, scores
         self.cache: dict[str, int] = {}
         self.rows = np.zeros((0, len(langs)), np.float32)
+        self.place = [{g: n for n, g in enumerate(some)} for some in grams]
 
     def __reduce__(self):
-        return Model, (self.langs, self.tables)
+        return Model, (self.langs, self.grams, self.scores)
 
     def _row(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
+        if (known := self.place[0].get(word)) is not None:
+            return self.scores[0][known]
         for n in range(LONGEST, 0, -1):
-            rows = [r for g in grams(word, n) if (r := self.tables[n].get(g)) is not None]
-            if rows:
-                return np.mean(rows, axis=0)
+            place = self.place[n]
+            found = [r for g in grams(word, n) if (r := place.get(g)) is not None]
+            if found:
+                return self.scores[n][found].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -115,46 +116,42 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learns from ``docs`` as given; rows without text or language are left out."""
-    src = docs.select(F.col(sql_name(text_col)).alias("text"), F.col(sql_name(lang_col)).alias("lang"), F.xxhash64(F.col(sql_name(id_col))).alias("h")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return Model([], [])
-    part = F.lit(0)
-    for lang, n in sizes.items():
-        part = F.when(F.col("lang") == lang, F.lit(int(min(1.0, sample_docs / n) * 1_000_003))).otherwise(part)
-    counts = _counts(src.filter(F.pmod("h", F.lit(1_000_003)) < part).select("text", "lang").repartition(16)).persist()
-    by_n = counts.groupBy("lang", "kind", "n").agg(F.count("*").alias("m")).toPandas()
-    least = F.lit(1 << 60)
-    for (lang, kind), rows in by_n.groupby(["lang", "kind"]):
-        rows = rows.sort_values("n", ascending=False)
-        fits = rows["n"][rows["m"].cumsum() <= (GRAMS if kind else WORDS)]
-        low = int(fits.iloc[-1]) if len(fits) else int(rows["n"].iloc[0]) + 1
-        least = F.when((F.col("lang") == lang) & (F.col("kind") == int(kind)), F.lit(low)).otherwise(least)
-    kept = counts.filter(F.col("n") >= least).toPandas()
-    counts.unpersist()
-    langs = sorted(sizes)
+    given = positional(docs)
+    src = given.frame.select(given[text_col].alias("text"), given[lang_col].cast("string").alias("lang"), F.xxhash64(given[id_col]).alias("h")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    share = src.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.count("*")).alias("share"))
+    found = share.limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values")
+    langs = sorted(r["lang"] for r in found)
+    if not langs:
+        return Model([], [], [])
+    # at most MOST_LANGUAGES rows
+    some = src.join(F.broadcast(share), "lang").filter(F.pmod("h", F.lit(1_000_003)) < (F.col("share") * 1_000_003).cast("long"))
+    kept = _counts(some.select("text", "lang").repartition(16)).toArrow()
     number = {x: i for i, x in enumerate(langs)}
-    tables: list[dict[str, np.ndarray]] = []
+    kinds, of = kept.column("kind").to_numpy(), np.array([number[x] for x in kept.column("lang").to_pylist()], np.int64)
+    n = kept.column("n").to_numpy()
+    names, scores = [], []
     for kind in range(LONGEST + 1):
-        of = kept[kept["kind"] == kind]
-        found: dict[str, np.ndarray] = {}
-        for lang, gram, n in zip(of["lang"], of["gram"], of["n"], strict=True):
-            found.setdefault(gram, np.full(len(langs), PRIOR))[number[lang]] += n
-        totals = np.sum(list(found.values()), axis=0) if found else np.ones(len(langs))
-        tables.append({g: np.log(x / totals).astype(np.float32) for g, x in found.items()})
-    return Model(langs, tables)
+        at = np.flatnonzero(kinds == kind)
+        some = kept.column("gram").take(pa.array(at)).combine_chunks().dictionary_encode()
+        table = np.full((len(some.dictionary), len(langs)), PRIOR)
+        np.add.at(table, (some.indices.to_numpy(), of[at]), n[at])
+        names.append(some.dictionary.to_pylist())
+        scores.append(np.log(table / table.sum(axis=0)).astype(np.float32) if len(table) else table.astype(np.float32))
+    return Model(langs, names, scores)
 
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with lang_pred and score."""
-    others = [c for c in docs.columns if c != text_col and c.lower() not in ("lang_pred", "score")]
-    src = docs.select(*[F.col(sql_name(c)) for c in others], F.col(sql_name(text_col)).alias("_text_"))
+    rows = positional(docs, ["lang_pred", "score"], [text_col])
+    src = rows.frame.select(rows.row(), rows[text_col].alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
         for batch in batches:
-            out = [of.predict(x.as_py()) for x in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            out = [of.predict(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=["_row", "lang_pred", "score"])
 
-    return src.mapInArrow(run, src.drop("_text_").schema.add("lang_pred", "string").add("score", "double"))
+    return rows.back(src.mapInArrow(run, src.select("_row").schema.add("lang_pred", "string").add("score", "double")), "lang_pred", "score")

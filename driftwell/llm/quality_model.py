@@ -6,11 +6,13 @@ the log-count ratio of the two classes, and divided by the root of their number;
 by dual coordinate descent, and a logistic curve on a part left out of the fit turns margins into scores.
 
 The fit uses a bounded sample, at most ``SAMPLE_DOCS`` labelled documents picked by a hash of the id; the
-weights are ``SLOTS`` numbers whatever the input.  Every text is scored whole.
+weights are ``SLOTS`` numbers whatever the input.  The driver holds a document's slots as a list or, if that is longer, as a bitmap of
+``SLOTS`` bits, so 128 MB at most.  Every text is scored whole, however long.
 
 Defined results: null and empty texts have the feature "no words" only; a doc_id with labels that contradict each other
-evenly, or null labels only, is not learned from; without labels of both classes every score is 0.5; repeated rows score alike;
-an empty table gives an empty table; input columns named like a result are replaced.
+evenly, or null labels only, is not learned from; of several texts of one id the one with the smallest list of slots is, so a fit can be repeated;
+without labels of both classes every score is 0.5; repeated rows score alike; an empty table gives an empty table; input
+columns named like a result (in any case) are replaced, all others come back whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, mix, multipliers, sql_name
+from .common import WordHash, mix, multipliers, positional, sql_name
 
 SLOTS = 1 << 18
 SAMPLE_DOCS = 4000
@@ -72,16 +74,40 @@ class Features:
         return np.unique(mix(np.concatenate(parts)) % np.uint64(SLOTS)).astype(np.int64)
 
 
-def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
+def _stored(slots: np.ndarray) -> bytes:
+    """A list of slots, or a bitmap where that is shorter; the length tells them apart."""
+    if 4 * len(slots) < SLOTS // 8:
+        return slots.astype("<i4").tobytes()
+    bits = np.zeros(SLOTS, bool)
+    bits[slots] = True
+    return np.packbits(bits).tobytes()
+
+
+class Rows:
+    """The slots of the sample's documents, unpacked one at a time."""
+
+    def __init__(self, stored: list[bytes]):
+        self.stored = stored
+
+    def __len__(self) -> int:
+        return len(self.stored)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        data = self.stored[i]
+        return np.frombuffer(data, "<i4") if len(data) < SLOTS // 8 else np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8)))
+
+
+def descend(rows: Rows | list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the hinge loss; the bias is a feature that is always 1."""
     w, bias = np.zeros(len(ratio)), 0.0
-    values = [ratio[r] / np.sqrt(len(r)) for r in rows]
-    norm = np.array([float(v @ v) + 1.0 for v in values])
+    value = lambda r: ratio[r] / np.sqrt(len(r))
+    norm = np.array([float(v @ v) + 1.0 for v in (value(rows[i]) for i in range(len(rows)))])
     balance = np.where(y > 0, len(y) / max(1, 2 * (y > 0).sum()), len(y) / max(1, 2 * (y < 0).sum())) * cost
     alpha, rng = np.zeros(len(y)), np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
-            r, v = rows[i], values[i]
+            r = rows[i]
+            v = value(r)
             slope = y[i] * (float(w[r] @ v) + bias) - 1
             new = min(max(alpha[i] - slope / norm[i], 0.0), balance[i])
             if new != alpha[i]:
@@ -108,7 +134,7 @@ def _curve(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return (a, b) if a > 0 else (1.0, 0.0)
 
 
-def learn(rows: list[np.ndarray], good: np.ndarray) -> tuple[np.ndarray, float]:
+def learn(rows: Rows | list[np.ndarray], good: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights by slot and a bias; a text's score is the logistic of bias + sum of weights / root of features."""
     if good.all() or not good.any():
         return np.zeros(SLOTS, np.float32), 0.0
@@ -121,7 +147,7 @@ def learn(rows: list[np.ndarray], good: np.ndarray) -> tuple[np.ndarray, float]:
     for i in use:
         (p if good[i] else q)[rows[i]] += 1
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    w, bias = descend([rows[i] for i in use], y, ratio)
+    w, bias = descend(Rows([rows.stored[i] for i in use]) if isinstance(rows, Rows) else [rows[i] for i in use], y, ratio)
     calibrate = np.flatnonzero(aside) if aside.any() else use
     margin = np.array([w[rows[i]].sum() / np.sqrt(len(rows[i])) + bias for i in calibrate])
     a, b = _curve(margin, good[calibrate])
@@ -130,25 +156,26 @@ def learn(rows: list[np.ndarray], good: np.ndarray) -> tuple[np.ndarray, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, float]:
     """Learns from the labelled rows of ``docs`` as given."""
-    marks = labels.select(F.col(sql_name(id_col)).alias("_id"), F.col(sql_name(label_col)).cast("double").alias("y")).dropna()
+    given, known = positional(docs), positional(labels)
+    marks = known.frame.select(known[id_col].alias("_id"), known[label_col].cast("double").alias("y")).dropna()
     marks = marks.groupBy("_id").agg(F.avg("y").alias("y")).filter("y <> 0.5")
-    ids = docs.select(F.col(sql_name(id_col)).alias("_id")).distinct()
+    ids = given.frame.select(given[id_col].alias("_id")).distinct()
     marks = marks.join(ids.hint("merge"), "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)
-    held = docs.select(F.col(sql_name(id_col)).alias("_id"), F.col(sql_name(text_col)).cast("binary").alias("_text"))
+    held = given.frame.select(given[id_col].alias("_id"), given[text_col].cast("binary").alias("_text"))
     # the broadcast side has at most sample_docs rows of two numbers
     picked = held.join(F.broadcast(marks), "_id").select("_id", "y", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Features()
         for batch in batches:
-            slots = [of(x.as_py()).astype("<i4").tobytes() for x in batch.column(2)]
+            slots = [_stored(of(x.as_py())) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(slots, pa.binary())], names=["id", "y", "slots"])
 
-    rows = picked.mapInArrow(run, "id string, y double, slots binary").dropDuplicates(["id"]).toArrow()
+    rows = picked.mapInArrow(run, "id string, y double, slots binary").groupBy("id").agg(F.min("y").alias("y"), F.min("slots").alias("slots")).toArrow()
     order = np.argsort(np.array([hash_of(x) for x in rows.column("id").to_pylist()], np.uint64), kind="stable")
-    slots = [np.frombuffer(x.as_py(), "<i4").astype(np.int64) for x in rows.column("slots")]
+    slots = rows.column("slots").to_pylist()
     good = np.asarray(rows.column("y").to_numpy()) > 0.5
-    return learn([slots[i] for i in order], good[order])
+    return learn(Rows([slots[i] for i in order]), good[order])
 
 
 def hash_of(x: str) -> int:
@@ -159,8 +186,8 @@ def hash_of(x: str) -> int:
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with score and predicted."""
-    others = [c for c in docs.columns if c != text_col and c.lower() not in ("score", "predicted")]
-    src = docs.select(*[F.col(sql_name(c)) for c in others], F.col(sql_name(text_col)).cast("binary").alias("_text_"))
+    rows = positional(docs, ["score", "predicted"], [text_col])
+    src = rows.frame.select(rows.row(), rows[text_col].cast("binary").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,10 +195,10 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "te
         w, bias = shared.value
         for batch in batches:
             margin = np.empty(batch.num_rows)
-            for i, x in enumerate(batch.column(batch.num_columns - 1)):
+            for i, x in enumerate(batch.column(1)):
                 slots = of(x.as_py())
                 margin[i] = w[slots].sum(dtype=np.float64) / np.sqrt(len(slots)) + bias
             score = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["_row", "score", "predicted"])
 
-    return src.mapInArrow(run, src.drop("_text_").schema.add("score", "double").add("predicted", "integer"))
+    return rows.back(src.mapInArrow(run, src.select("_row").schema.add("score", "double").add("predicted", "integer")), "score", "predicted")
