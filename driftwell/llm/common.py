@@ -4,9 +4,6 @@
 * ``pack``: turn documents into *chunks*, rows that hold about ``CHUNK_BYTES`` of
   whole documents as a compressed Arrow stream.  Later passes shuffle chunks, not
   documents, and one chunk is what a Python worker holds at a time.
-* ``cut`` and ``joined``: a sorted array of 64-bit keys travels as one row per
-  (chunk, bucket of the key space); answers come back in the order of the keys,
-  so they need no keys themselves.
 * ``components``: connected components without a collected edge.
 """
 
@@ -24,7 +21,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 6 << 20
-BUCKET_BYTES = 12 << 20
 #: The words of the contracts: runs of anything but space, tab, line feed, vertical tab, form feed, return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -105,7 +101,7 @@ class positional:  # noqa: N801 - used like a function
 # ---------------------------------------------------------------- chunks
 
 
-def _ipc(table: pa.Table) -> bytes:
+def ipc(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(table.combine_chunks())
@@ -138,7 +134,7 @@ def pack(df: DataFrame, text_col: str = "text", chunk_bytes: int = CHUNK_BYTES)
             table = pa.Table.from_batches(held)
             return pa.RecordBatch.from_pydict(
                 {"chunk": pa.array([base + n], pa.int64()), "n_rows": pa.array([table.num_rows], pa.int64()),
-                 "n_bytes": pa.array([size], pa.int64()), "data": pa.array([_ipc(table)], pa.binary())})
+                 "n_bytes": pa.array([size], pa.int64()), "data": pa.array([ipc(table)], pa.binary())})
 
         for batch in batches:
             lens = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0), dtype=np.int64)
@@ -159,36 +155,6 @@ def pack(df: DataFrame, text_col: str = "text", chunk_bytes: int = CHUNK_BYTES)
     return stash(plain.mapInArrow(run, "chunk long, n_rows long, n_bytes long, data binary"), "chunks")
 
 
-def bucket_bits(chunks: DataFrame) -> int:
-    """So many leading bits of a key that a bucket's share of the keys stays near that of ``BUCKET_BYTES`` of text."""
-    total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(6, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES)))))
-
-
-def cut(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
-    """(bucket, slice) of each bucket that has some of the sorted ``keys``."""
-    if not len(keys):
-        return
-    tops = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    edges = np.flatnonzero(np.diff(tops)) + 1
-    for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
-        yield int(tops[lo]), slice(lo, hi)
-
-
-def joined(chunks: DataFrame, *answers: DataFrame) -> DataFrame:
-    """One row per chunk with, for each table of (chunk, bucket, data), the array ``answersN`` of its (bucket, data)."""
-    out = chunks
-    for n, rows in enumerate(answers):
-        per_chunk = rows.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "data")).alias(f"answers{n}"))
-        out = out.join(per_chunk.hint("merge"), "chunk", "left")
-    return out
-
-
-def answer_map(batch: pa.RecordBatch, name: str, i: int) -> dict[int, bytes]:
-    got = batch.column(batch.schema.get_field_index(name))[i].as_py()
-    return {x["bucket"]: x["data"] for x in got or ()}
-
-
 # ---------------------------------------------------------------- words
 
 
