@@ -1,18 +1,19 @@
 """Language-model scores by deleted interpolation.
 
-A token's probability given the one before it mixes three estimates: the bigram's and the
-word's relative frequency and one over V + 1.  The weights depend on how often the context was
-seen (buckets by powers of two) and are learned by expectation-maximisation on held-out
-counts: each training bigram is left out of the counts that predict it (the deleted estimate).
+A token's probability given the ``ORDER`` - 1 before it mixes maximum-likelihood estimates of every order: that of the trigram with what
+bigram, word and one over V + 1 give, that of the bigram with the rest, and so on.  The weight of an order depends on how often its context was
+seen (buckets by powers of two) and is learned by expectation-maximisation on held-out counts: each training n-gram is left out of the counts
+that predict it (the deleted estimate), lower orders before higher ones.
 
 Counts cover every training document.  Passes over packed chunks: (1) a chunk's distinct n-grams with
-their counts go to buckets of the key space as sorted arrays; a bucket answers each chunk with the totals,
-in the chunk's order; (2) a histogram of (context bucket, bigram estimate, word estimate), of bounded size whatever the
-input, feeds EM on the driver; (3) each chunk scores its documents.  A word that a third of all text uses is
-one key per chunk, so no task is hot.
+their counts go out by ranges of the key space, and the totals come back in the chunk's order (``exchange``); (2) each chunk writes its tokens' totals
+of every order; (3) for each order a histogram of (context bucket, estimate, estimate of the lower orders), of bounded size whatever the input, with
+the sums of both estimates, feeds EM on the driver; (4) each chunk scores its documents.  A word that a third of all text uses is
+one key per chunk, so no task is hot.  Words are told apart by 64 bits, longer n-grams by 40 beyond their range.
 
 Defined results: a null or empty text is its end token alone; a null id counts as training; repeated rows count as often as
-they stand there; with no training token the base score has N = V = 0 and the model gives 1 / (V + 1) = 1; an empty table
+they stand there; very long texts are one chunk and scored whole; with no training token the base score has N = V = 0 and the model gives
+1 / (V + 1) = 1; columns named like a result (in any case) are replaced, all others come back whatever their names; an empty table
 gives an empty table.
 """
 
@@ -23,17 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, answer_map, bucket_bits, cut, joined, mix, multipliers, pack, release, sql_name, stash, unpack
+from . import exchange
+from .common import WordHash, ipc, mix, multipliers, pack, positional, release, stash, unpack
 
+ORDER = 3
 #: Context counts 0, 1, 2-3, 4-7, ... share weights.
 BUCKETS = 20
-#: Estimates are counted by tenths of a power of ten for EM; the cell 0 is "not seen".
-STEPS, CELLS = 10, 160
+#: Estimates are counted by so many steps of a power of ten for EM; the cell 0 is "not seen".  A cell has the sums of what it counts.
+STEPS, CELLS = 20, 320
 EM_ROUNDS = 60
+#: Text whose keys make a range.
+BUCKET_BYTES = 12 << 20
 _B = multipliers(2, 21)
 _END = np.uint64(0x9E3779B97F4A7C15)
 _START = np.uint64(0xD1B54A32D192ED03)
@@ -45,68 +49,64 @@ def is_held_out(ids: list) -> np.ndarray:
 
 
 class _Chunk:
-    """The tokens of a chunk's documents, end to end, and the chunk's distinct words and bigrams in order."""
+    """The tokens of a chunk's documents, end to end, and for each order its distinct n-grams and the number of each token's."""
 
-    def __init__(self, table: pa.Table, id_col: str, text_col: str):
-        self.held = is_held_out(table.column(id_col).to_pylist())
+    def __init__(self, table: pa.Table, order: int):
+        self.held = is_held_out(table.column("id").to_pylist())
         one = WordHash()
-        docs = [one(x.as_py().lower().split()) if x.is_valid else np.zeros(0, np.uint64) for x in table.column(text_col)]
+        docs = [one(x.as_py().lower().split()) if x.is_valid else np.zeros(0, np.uint64) for x in table.column("text")]
         self.n = np.array([len(d) + 1 for d in docs], np.int64)
         ends = np.cumsum(self.n)
-        self.doc = np.repeat(np.arange(len(docs)), self.n)
         tokens = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
         rest = np.ones(len(tokens), bool)
         rest[ends - 1] = False
         tokens[~rest] = _END
         if len(docs):
             tokens[rest] = np.concatenate(docs)
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[ends - self.n] = _START
-        self.words, self.word = np.unique(np.concatenate([tokens, before]), return_inverse=True)
-        self.word, self.context = self.word[: len(tokens)], self.word[len(tokens) :]
-        self.pairs, self.pair = np.unique(mix(before * _B[0] + mix(tokens * _B[1])), return_inverse=True)
-        self.train = ~self.held[self.doc] if len(docs) else np.zeros(0, bool)
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of the chunk's words (the start mark: documents) and bigrams."""
-        w = np.bincount(self.word[self.train], minlength=len(self.words))
-        at = np.searchsorted(self.words, _START)
-        if at < len(self.words) and self.words[at] == _START:
-            w[at] = int((~self.held).sum())
-        return w, np.bincount(self.pair[self.train], minlength=len(self.pairs))
-
-    def totals(self, words: dict[int, bytes], pairs: dict[int, bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: the counts of the bigram, of the word before, and of the word."""
-        w, p = _filled(self.words, words, bits), _filled(self.pairs, pairs, bits)
-        return p[self.pair], w[self.context], w[self.word]
-
-
-def _filled(keys: np.ndarray, answers: dict[int, bytes], bits: int) -> np.ndarray:
-    out = np.zeros(len(keys), np.int64)
-    for bucket, s in cut(keys, bits):
-        out[s] = _numbers(answers[bucket])
-    return out
+        self.train = np.repeat(~self.held, self.n)
+        self.keys, self.which = [], []
+        grams, last = tokens, mix(tokens * _B[1])
+        for k in range(order):
+            if k:
+                before = np.empty_like(grams)
+                before[1:] = grams[:-1]
+                before[ends - self.n] = _START
+                grams = mix(before * _B[0] + last)
+            keys, which = np.unique(grams, return_inverse=True)
+            self.keys.append(keys)
+            self.which.append(which)
+
+    def counts(self) -> list[np.ndarray]:
+        """Training counts of the chunk's n-grams, by order."""
+        return [np.bincount(which[self.train], minlength=len(keys)) for keys, which in zip(self.keys, self.which, strict=True)]
+
+
+class Counts(exchange.Question):
+    """Totals of keys; kind is the order less one."""
 
+    def pack(self, keys, values, width, kind):
+        keys = exchange.pack_keys(keys, 8 if kind == 0 else width)
+        return len(keys).to_bytes(4, "little") + keys + exchange.pack_numbers(values)
 
-def _packed(x: np.ndarray) -> bytes:
-    kind = np.min_scalar_type(int(x.max()))
-    return bytes([np.dtype(kind).itemsize]) + zstandard.ZstdCompressor(1).compress(x.astype(f"<u{np.dtype(kind).itemsize}").tobytes())
+    def unpack(self, data, width, kind):
+        n = int.from_bytes(data[:4], "little")
+        return exchange.unpack_keys(data[4 : 4 + n], 8 if kind == 0 else width), exchange.unpack_numbers(data[4 + n :])
 
+    def merge(self, parts):
+        keys, place = exchange.merged_keys(parts)
+        return keys, np.bincount(place, np.concatenate([v for _, v in parts]), len(keys)).astype(np.int64), place
 
-def _numbers(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
+    def whole(self, values):
+        return values
 
+    def pack_answers(self, answers):
+        return exchange.pack_numbers(answers)
 
-def _packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as their steps, byte by byte: the high bytes of the steps are nearly all zero and shrink to nothing."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+    def unpack_answers(self, data, n):
+        return exchange.unpack_numbers(data) if n else np.zeros(0, np.int64)
 
 
-def _keys(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
+COUNTS = Counts()
 
 
 def context_bucket(c: np.ndarray) -> np.ndarray:
@@ -118,102 +118,129 @@ def _cells(p: np.ndarray) -> np.ndarray:
         return np.where(p > 0, np.clip(np.round(-np.log10(p) * STEPS), 0, CELLS - 2) + 1, 0).astype(np.int64)
 
 
-def learn(cells: np.ndarray, counts: np.ndarray, v: int) -> np.ndarray:
-    """EM over the histogram: weights (bucket, [bigram, word, uniform])."""
-    weights = np.tile(np.array([0.5, 0.4, 0.1]), (BUCKETS, 1))
-    weights[0] = [0.0, 0.8, 0.2]  # an unseen context has no bigrams
-    b, two, one = cells // (CELLS * CELLS), cells // CELLS % CELLS, cells % CELLS
-    value = lambda c: np.where(c > 0, 10.0 ** (-(c - 1.0) / STEPS), 0.0)
-    parts = np.stack([value(two), value(one), np.full(len(cells), 1.0 / (v + 1))], axis=1)
-    total = np.bincount(b, counts, BUCKETS)
+def _contexts(totals: list[np.ndarray], n: np.ndarray, tokens: int) -> list[np.ndarray]:
+    """For each order the count of each token's context: all tokens, the word before, the two before; at a start the training documents."""
+    first = np.cumsum(n) - n
+    out = [np.full(len(totals[0]), tokens, np.int64)]
+    for lower in totals[:-1]:
+        before = np.empty_like(lower)
+        before[1:] = lower[:-1]
+        before[first] = totals[0][first + n - 1]  # every document has one end token
+        out.append(before)
+    return out
+
+
+def estimates(totals: list[np.ndarray], contexts: list[np.ndarray], v: int, weights: list[np.ndarray], deleted: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket of the context, own estimate, probability by the lower orders) of the next order above those with ``weights``.
+
+    With all orders weighted, the last is the probability.  ``deleted``: 1 leaves the token itself out of the counts.
+    """
+    p = np.full(len(totals[0]), 1.0 / (v + 1))
+    for k, (c, seen) in enumerate(zip(totals, contexts, strict=True)):
+        c, seen = np.maximum(c - deleted, 0), np.maximum(seen - deleted, 0)
+        bucket, own = context_bucket(seen), c / np.maximum(seen, 1)
+        if k == len(weights):
+            return bucket, own, p
+        share = weights[k][bucket]
+        p = share * own + (1 - share) * p
+    return bucket, own, p
+
+
+def learn(bucket: np.ndarray, own: np.ndarray, lower: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The own estimate's weight in each bucket, by EM over cells with their mean estimates; 0 where the context was never seen."""
+    weights = np.full(BUCKETS, 0.5)
+    weights[0] = 0.0
+    total = np.bincount(bucket, counts, BUCKETS)
     for _ in range(EM_ROUNDS):
-        share = parts * weights[b]
-        share *= (counts / np.maximum(share.sum(axis=1), 1e-300))[:, None]
-        got = np.stack([np.bincount(b, share[:, k], BUCKETS) for k in range(3)], axis=1)
-        weights = np.where(total[:, None] > 0, got / np.maximum(total, 1)[:, None], weights)
-        weights = np.maximum(weights, [0.0, 0.0, 1e-6])
-        weights[0, 0] = 0.0
-        weights /= weights.sum(axis=1, keepdims=True)
+        mine, rest = weights[bucket] * own, (1 - weights[bucket]) * lower
+        got = np.bincount(bucket, counts * mine / np.maximum(mine + rest, 1e-300), BUCKETS)
+        # a little always stays for what was not seen
+        weights = np.minimum(np.where(total > 0, got / np.maximum(total, 1), weights), 1 - 1e-6)
+        weights[0] = 0.0
     return weights
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, bucket_bytes: int = BUCKET_BYTES, fan_bits: int | None = None) -> DataFrame:
     """``docs`` without the text, with held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     made = {"held_out": "boolean", "n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double"}
-    names = [c for c in docs.columns if c.lower() not in made]
-    src = docs.select(*[F.col(sql_name(c)) for c in names])
-    packed = pack(src, text_col)
-    bits = bucket_bits(packed)
+    rows = positional(docs, list(made), [text_col])
+    src = rows.frame.select(rows.row(), rows[id_col].cast("string").alias("id"), rows[text_col].alias("text"))
+    packed = pack(src, "text")
+    found = packed.agg(F.count("*"), F.sum("n_bytes")).first()
+    plan = exchange.Plan(found[0], found[1] or 0, bucket_bytes, fan_bits)
     chunks = packed.select("chunk", "data")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                c = _Chunk(unpack(data.as_py()), id_col, text_col)
-                cols: list[list] = [[], [], [], [], []]
-                for kind, keys, n in zip((0, 1), (c.words, c.pairs), c.counts(), strict=True):
-                    for bucket, s in cut(keys, bits):
-                        for col, x in zip(cols, (kind << 40 | bucket, kind, chunk, _packed_keys(keys[s]), _packed(n[s])), strict=True):
-                            col.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "kind", "chunk", "keys", "n"])
-
-    def summed(table: pa.Table) -> pa.Table:
-        n = [_numbers(x.as_py()) for x in table.column("n")]
-        sizes = np.cumsum([len(x) for x in n])[:-1]
-        keys = np.concatenate([_keys(x.as_py()) for x in table.column("keys")])
-        kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py() & (1 << 40) - 1
-        distinct, which = np.unique(keys, return_inverse=True)
-        total = np.bincount(which, np.concatenate(n), len(distinct)).astype(np.int64)
-        known = 0
-        tokens = 0
-        if kind == 0:  # V and N over words proper: the start mark is no token
-            word = (total > 0) & (distinct != _START)
-            known, tokens = int(word.sum()), int(total[word].sum())
-        answers = [_packed(x) for x in np.split(total[which], sizes)]
-        first = [known, *[0] * (len(answers) - 1)]
-        return pa.table({"kind": table.column("kind"), "bucket": pa.array([bucket] * len(answers), pa.int64()), "chunk": table.column("chunk"), "data": pa.array(answers, pa.binary()), "v": pa.array(first, pa.int64()), "tokens": pa.array([tokens, *[0] * (len(answers) - 1)], pa.int64())})
-
-    one = chunks.mapInArrow(counted, "bucket long, kind long, chunk long, keys binary, n binary")
-    one = stash(one.groupBy("bucket").applyInArrow(summed, "kind long, bucket long, chunk long, data binary, v long, tokens long"), "counts")
+                c = _Chunk(unpack(data.as_py()), order)
+                for kind, (keys, n) in enumerate(zip(c.keys, c.counts(), strict=True)):
+                    sent = list(exchange.sent(COUNTS, plan, kind, keys, n))
+                    yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in sent], pa.int64()), pa.array([chunk] * len(sent), pa.int64()), pa.array([d for _, d in sent], pa.binary())], names=["range", "member", "data"])
+
+    def words(kind: int, keys: np.ndarray, values: np.ndarray) -> tuple[int, int]:
+        """Of the whole words: how many there are in training, and how many tokens."""
+        return (int((values > 0).sum()), int(values.sum())) if kind == 0 else (0, 0)
+
+    one = exchange.answered(chunks.mapInArrow(counted, "range long, member long, data binary"), COUNTS, plan, "v long, tokens long", words)
+    one = stash(one, "counts")
     size = one.agg(F.sum("v"), F.sum("tokens")).first()
     v, tokens = size[0] or 0, size[1] or 0
-    both = joined(chunks, one.filter("kind = 0").select("chunk", "bucket", "data"), one.filter("kind = 1").select("chunk", "bucket", "data"))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, _Chunk, tuple]]:
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each chunk's rows without their texts, its documents' lengths and its tokens' totals by order."""
         for batch in batches:
             for i, data in enumerate(batch.column(1)):
                 table = unpack(data.as_py())
-                c = _Chunk(table, id_col, text_col)
-                yield table, c, c.totals(answer_map(batch, "answers0", i), answer_map(batch, "answers1", i), bits)
-
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, c, (c12, c1, c2) in each(batches):
-            c12, c1, c2 = (x[c.train] - 1 for x in (c12, c1, c2))
-            two = np.where(c1 > 0, c12 / np.maximum(c1, 1), 0.0)
-            cell = (context_bucket(c1) * CELLS + _cells(two)) * CELLS + _cells(c2 / max(tokens - 1, 1))
-            cells, n = np.unique(cell, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n, pa.int64())], names=["cell", "n"])
-
-    cells = both.mapInArrow(histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+                c, answers = _Chunk(table, order), exchange.answer_map(batch, "answers0", i)
+                empty = [np.zeros(len(k), np.int64) for k in c.keys]
+                totals = [exchange.received(COUNTS, plan, kind, k, e, answers)[which] for kind, (k, e, which) in enumerate(zip(c.keys, empty, c.which, strict=True))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ipc(table.select(["_row"]))], pa.binary()), pa.array([exchange.pack_numbers(c.n)], pa.binary()),
+                     pa.array([np.packbits(c.held).tobytes()], pa.binary()), pa.array([[exchange.pack_numbers(t) for t in totals]], pa.list_(pa.binary()))],
+                    names=["rows", "n", "held", "totals"],
+                )
+
+    kept = stash(exchange.joined(chunks, one.select("range", "member", "data")).mapInArrow(told, "rows binary, n binary, held binary, totals array<binary>"), "totals")
+
+    def each(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for rows_of, n, held, totals in zip(*(batch.column(c) for c in ("rows", "n", "held", "totals")), strict=True):
+            n = exchange.unpack_numbers(n.as_py())
+            held = np.unpackbits(np.frombuffer(held.as_py(), np.uint8), count=len(n)).astype(bool)
+            totals = [exchange.unpack_numbers(t) for t in totals.as_py()]
+            yield rows_of, n, held, totals, _contexts(totals, n, tokens)
+
+    weights: list[np.ndarray] = []
+    for _ in range(order):
+        so_far = list(weights)
+
+        def histogram(batches: Iterator[pa.RecordBatch], so_far=so_far) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, n, held, totals, contexts in each(batch):
+                    train = np.repeat(~held, n)
+                    bucket, own, lower = (x[train] for x in estimates(totals, contexts, v, so_far, deleted=1))
+                    cells, at, times = np.unique((bucket * CELLS + _cells(own)) * CELLS + _cells(lower), return_inverse=True, return_counts=True)
+                    sums = [np.bincount(at, x, len(cells)) for x in (own, lower)]
+                    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(times, pa.int64()), *(pa.array(x, pa.float64()) for x in sums)], names=["cell", "n", "own", "lower"])
+
+        cells = kept.mapInArrow(histogram, "cell long, n long, own double, lower double").groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "own", "lower")]).orderBy("cell").toArrow()
+        n = cells.column("n").to_numpy().astype(np.float64)
+        weights.append(learn(cells.column("cell").to_numpy() // (CELLS * CELLS), cells.column("own").to_numpy() / np.maximum(n, 1), cells.column("lower").to_numpy() / np.maximum(n, 1), n))
     release(docs.sparkSession)
-    weights = learn(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64), v)
 
-    out_names = [c for c in names if c != text_col]
-    schema = src.drop(text_col).schema
+    schema = src.select("_row").schema
     for k, t in made.items():
         schema = schema.add(k, t)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, c, (c12, c1, c2) in each(batches):
-            w = weights[context_bucket(c1)]
-            p = w[:, 0] * c12 / np.maximum(c1, 1) + w[:, 1] * c2 / max(tokens, 1) + w[:, 2] / (v + 1)
-            if not tokens:
-                p = np.full(len(c2), 1.0 / (v + 1))
-            m = len(c.n)
-            base = np.bincount(c.doc, np.log10((c2 + 1.0) / (tokens + v + 1.0)), m)
-            known = np.bincount(c.doc, c2 > 0, m).astype(np.int64)
-            score = np.bincount(c.doc, np.log10(p), m)
-            made_now = [pa.array(c.held), pa.array(c.n), pa.array(known), pa.array(np.full(m, tokens, np.int64)), pa.array(base), pa.array(score)]
-            yield from pa.table([*[table.column(k) for k in out_names], *made_now], names=[*out_names, *made]).combine_chunks().to_batches()
-
-    return both.mapInArrow(scores, schema)
+        for batch in batches:
+            for rows_of, n, held, totals, contexts in each(batch):
+                p = estimates(totals, contexts, v, weights)[2] if tokens else np.full(len(totals[0]), 1.0 / (v + 1))
+                m, doc = len(n), np.repeat(np.arange(len(n)), n)
+                base = np.bincount(doc, np.log10((totals[0] + 1.0) / (tokens + v + 1.0)), m)
+                known = np.bincount(doc, totals[0] > 0, m).astype(np.int64)
+                score = np.bincount(doc, np.log10(p), m)
+                made_now = [pa.array(held), pa.array(n), pa.array(known), pa.array(np.full(m, tokens, np.int64)), pa.array(base), pa.array(score)]
+                yield from pa.table([unpack(rows_of.as_py()).column("_row").combine_chunks(), *made_now], names=["_row", *made]).to_batches()
+
+    return rows.back(kept.mapInArrow(scores, schema), *made)
