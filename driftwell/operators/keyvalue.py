@@ -53,31 +53,63 @@ def object_commands(objects: DataFrame) -> DataFrame:
     return objects.select("db", "key", F.posexplode(F.concat(one, expire)).alias("part", "args"))
 
 
-#: Where the keys of a command stand: first, last (negative: from the end), step; or the place of their number.
+#: Commands whose only key is their first argument, by the kind of object.
+ONE_KEY = """
+APPEND DECR DECRBY GET GETDEL GETEX GETRANGE GETSET INCR INCRBY INCRBYFLOAT PSETEX SET SETEX SETNX SETRANGE STRLEN SUBSTR
+HDEL HEXISTS HGET HGETALL HINCRBY HINCRBYFLOAT HKEYS HLEN HMGET HMSET HRANDFIELD HSCAN HSET HSETNX HSTRLEN HVALS
+LINDEX LINSERT LLEN LPOP LPOS LPUSH LPUSHX LRANGE LREM LSET LTRIM RPOP RPUSH RPUSHX
+SADD SCARD SISMEMBER SMEMBERS SMISMEMBER SPOP SRANDMEMBER SREM SSCAN
+ZADD ZCARD ZCOUNT ZINCRBY ZLEXCOUNT ZMSCORE ZPOPMAX ZPOPMIN ZRANDMEMBER ZRANGE ZRANGEBYLEX ZRANGEBYSCORE ZRANK ZREM ZREMRANGEBYLEX
+ZREMRANGEBYRANK ZREMRANGEBYSCORE ZREVRANGE ZREVRANGEBYLEX ZREVRANGEBYSCORE ZREVRANK ZSCAN ZSCORE
+XACK XADD XAUTOCLAIM XCLAIM XDEL XLEN XPENDING XRANGE XREVRANGE XSETID XTRIM
+BITCOUNT BITFIELD BITFIELD_RO BITPOS GETBIT SETBIT GEOADD GEODIST GEOHASH GEOPOS GEOSEARCH GEORADIUS_RO GEORADIUSBYMEMBER_RO PFADD
+DUMP EXPIRE EXPIREAT EXPIRETIME MOVE PERSIST PEXPIRE PEXPIREAT PEXPIRETIME PTTL RESTORE RESTORE-ASKING SORT_RO TTL TYPE
+""".split()
+#: Where several keys stand: first, last (negative: from the end), step.
 KEY_PLACES: dict[str, tuple[int, int, int]] = {
-    **dict.fromkeys(("GET", "SET", "DECR", "INCR", "APPEND", "HSET", "HDEL", "HGET", "LPUSH", "RPUSH", "LPOP", "RPOP", "SADD", "SREM", "ZADD", "ZREM", "EXPIRE", "PEXPIRE", "PERSIST", "GEOADD", "XADD", "SETEX", "SETNX", "SETBIT", "RESTORE", "PFADD"), (1, 1, 1)),
-    **dict.fromkeys(("DEL", "UNLINK", "EXISTS", "MGET", "TOUCH", "PFCOUNT", "PFMERGE", "SUNIONSTORE", "SDIFFSTORE", "SINTERSTORE"), (1, -1, 1)),
-    **dict.fromkeys(("MSET", "MSETNX"), (1, -1, 2)),
-    **dict.fromkeys(("RENAME", "RENAMENX", "SMOVE", "LMOVE", "RPOPLPUSH"), (1, 2, 1)),
+    **dict.fromkeys(ONE_KEY, (1, 1, 1)),
+    **dict.fromkeys("DEL EXISTS MGET PFCOUNT PFMERGE SDIFF SDIFFSTORE SINTER SINTERSTORE SUNION SUNIONSTORE TOUCH UNLINK WATCH".split(), (1, -1, 1)),
+    **dict.fromkeys("BLPOP BRPOP BZPOPMAX BZPOPMIN".split(), (1, -2, 1)),
+    **dict.fromkeys("MSET MSETNX".split(), (1, -1, 2)),
+    **dict.fromkeys("BLMOVE BRPOPLPUSH COPY GEOSEARCHSTORE LCS LMOVE RENAME RENAMENX RPOPLPUSH SMOVE ZRANGESTORE".split(), (1, 2, 1)),
+    "BITOP": (2, -1, 1),
+    **dict.fromkeys("MEMORY OBJECT PFDEBUG XGROUP XINFO".split(), (2, 2, 1)),
 }
-KEY_NUMBERS: dict[str, int] = {"EVAL": 2, "EVALSHA": 2, "ZUNIONSTORE": 2, "ZINTERSTORE": 2, "ZDIFFSTORE": 2}
-KEYLESS = ("PING", "FLUSHDB", "FLUSHALL", "SELECT", "MULTI", "EXEC", "SWAPDB", "SCRIPT", "FUNCTION")
+#: Where the number of the keys that follow it stands; a name that ends in STORE has a key before it.
+KEY_NUMBERS: dict[str, int] = {
+    **dict.fromkeys("LMPOP SINTERCARD ZDIFF ZINTER ZINTERCARD ZMPOP ZUNION".split(), 1),
+    **dict.fromkeys("BLMPOP BZMPOP EVAL EVALSHA EVALSHA_RO EVAL_RO FCALL FCALL_RO ZDIFFSTORE ZINTERSTORE ZUNIONSTORE".split(), 2),
+}
+#: A first key, and others each behind one of these words.
+KEY_WORDS: dict[str, tuple[str, ...]] = {"SORT": ("STORE",), "GEORADIUS": ("STORE", "STOREDIST"), "GEORADIUSBYMEMBER": ("STORE", "STOREDIST")}
+#: Keys from behind the word STREAMS on, as many as other values after them.
+STREAM_READS = ("XREAD", "XREADGROUP")
+KEYLESS = "AUTH DISCARD EXEC FLUSHALL FLUSHDB FUNCTION MULTI PING PUBLISH REPLCONF SCRIPT SELECT SWAPDB UNWATCH WAIT".split()
 
 
 def command_keys(args: Column) -> Column:
     """The keys of a command; an empty array for one without keys; unknown commands fail."""
     name = F.upper(args[0])
-    out = F.when(name.isin(*KEYLESS), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    out = F.when(name.isin(*KEYLESS), none)
     places: dict[tuple[int, int, int], list[str]] = {}
     for command, where in KEY_PLACES.items():
         places.setdefault(where, []).append(command)
     for (first, last, step), names in places.items():
-        end = F.size(args) - 1 if last < 0 else F.lit(last)
+        end = F.size(args) + last if last < 0 else F.lit(last)
         picked = F.transform(F.sequence(F.lit(first), F.greatest(end, F.lit(first)), F.lit(step)), lambda i: F.get(args, i))
         out = out.when(name.isin(*names), picked)
-    for command, place in KEY_NUMBERS.items():
-        stored = F.array(F.get(args, F.lit(1))) if command.endswith("STORE") else F.array().cast("array<string>")
-        out = out.when(name == command, F.concat(stored, F.slice(args, F.lit(place + 2), F.get(args, F.lit(place)).cast("int"))))
+    for place in sorted(set(KEY_NUMBERS.values())):
+        some = [c for c, at in KEY_NUMBERS.items() if at == place]
+        stored = F.when(name.endswith("STORE"), F.array(F.get(args, F.lit(1)))).otherwise(none)
+        out = out.when(name.isin(*some), F.concat(stored, F.slice(args, F.lit(place + 2), F.get(args, F.lit(place)).cast("int"))))
+    words = F.transform(args, lambda a: F.upper(a))
+    for command, marks in KEY_WORDS.items():
+        behind = [F.when(F.array_position(words, w) > 2, F.get(args, F.array_position(words, w).cast("int"))) for w in marks]
+        out = out.when(name == command, F.array_compact(F.array(F.get(args, F.lit(1)), *behind)))
+    start = F.array_position(words, "STREAMS").cast("int")
+    reads = F.slice(args, start + 1, F.greatest(((F.size(args) - start) / 2).cast("int"), F.lit(0)))
+    out = out.when(name.isin(*STREAM_READS), F.when(start > 0, reads).otherwise(none))
     return out.otherwise(F.raise_error(F.concat(F.lit("unknown command: "), name)).cast("array<string>"))
 
 

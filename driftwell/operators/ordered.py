@@ -1,7 +1,7 @@
-"""Positions and runs in a global order, without one task that holds all rows.
+"""Positions, running sums and runs in a global order, without one task that holds all rows.
 
-Rows are cut into ranges of the order; each range is numbered by itself, and the ranges' totals, one row per
-range, give the offsets.
+Rows are cut into ranges of the whole order, by Spark's range partitioning, and written; each range is summed by itself, and the ranges' totals,
+one row per range, give the offsets.  Nothing that grows with the rows comes to the driver or into a plan.
 """
 
 from __future__ import annotations
@@ -13,45 +13,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_RANGE = 2_000_000
-_SAMPLED_PER_CUT = 40
-
-
-def cut_points(df: DataFrame, key: str, parts: int, rows: int) -> list:
-    """``parts - 1`` values that cut the non-null keys into about equal ranges, from a sample of a size fixed by ``parts``."""
-    if parts <= 1 or rows == 0:
-        return []
-    share = min(1.0, _SAMPLED_PER_CUT * parts / rows)
-    found = sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull()).sample(fraction=share, seed=17).collect())
-    picked = [found[len(found) * i // parts] for i in range(1, parts)] if found else []
-    return sorted(set(picked))
 
 
 def range_of(key: Column, cuts: Sequence, low: int = 0) -> Column:
-    """The number of cuts below ``key``, by a balanced tree of comparisons; null keys come first."""
+    """``low`` and the number of cuts below ``key``, by bisection of one array literal; a null key is below all."""
     if not cuts:
         return F.lit(low)
-    mid = len(cuts) // 2
-    return F.when(key > F.lit(cuts[mid]), range_of(key, cuts[mid + 1 :], low + mid + 1)).otherwise(range_of(key, cuts[:mid], low))
+    held = F.lit(list(cuts))
+
+    def step(at: Column, _: Column) -> Column:
+        middle = F.floor((at["a"] + at["b"]) / 2).cast("int")
+        above = F.coalesce(key > F.get(held, middle), F.lit(False))
+        open_ = at["a"] < at["b"]
+        return F.struct(F.when(open_ & above, middle + 1).otherwise(at["a"]).alias("a"), F.when(open_ & ~above, middle).otherwise(at["b"]).alias("b"))
+
+    start = F.struct(F.lit(0).alias("a"), F.lit(len(cuts)).alias("b"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), start, step)["a"] + F.lit(low)
 
 
-def with_positions(df: DataFrame, order: Sequence[str], name: str = "position", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """``df`` with the place (from 1, a long) of each row in the order of the columns, nulls first.
+def with_running(df: DataFrame, order: Sequence[str], value: Column, name: str, rows_per_range: int | None = None) -> DataFrame:
+    """``df`` with the sum (a long) of ``value`` over the rows before each in the order of the columns, nulls first.
 
-    One pass counts, one counts by range; both collect no more than a number per range.  Rows that tie get distinct places.
+    Rows that tie are put in an order of their own.  One count, and beyond ``rows_per_range`` rows one table written to the shared folder.
     """
+    from ..sources.shared import scratch
+
+    rows_per_range = ROWS_PER_RANGE if rows_per_range is None else rows_per_range
+    before = lambda window: F.coalesce(F.sum("_value").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     total = df.count()
-    cuts = cut_points(df, order[0], ceil(total / rows_per_range), total)
-    if not cuts:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    ranged = df.withColumn("_range", range_of(F.col(order[0]), cuts))
-    sizes = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect()}
-    offsets, before = [], 0
-    for k in range(len(cuts) + 1):
-        offsets.append(before)
-        before += sizes.get(k, 0)
-    local = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    place = F.array(*[F.lit(x).cast("long") for x in offsets])[F.col("_range")] + local
-    return ranged.withColumn(name, place).drop("_range")
+    valued = df.withColumn("_value", value)
+    if total <= rows_per_range:
+        return valued.withColumn(name, before(Window.orderBy(*order))).drop("_value")
+    # rows that tie in the order are spread over ranges by their other columns
+    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    ranged = valued.withColumn("_tie", tie).repartitionByRange(ceil(total / rows_per_range), *order, "_tie").withColumn("_range", F.spark_partition_id())
+    at = scratch(df.sparkSession, "ranges")
+    ranged.write.parquet(at)
+    ranged = df.sparkSession.read.schema(ranged.schema).parquet(at)
+    sums = ranged.groupBy("_range").agg(F.sum("_value").alias("_value"))
+    offsets = sums.select("_range", before(Window.orderBy("_range")).alias("_offset"))
+    inside = before(Window.partitionBy("_range").orderBy(*order, "_tie"))
+    return ranged.withColumn("_inside", inside).join(offsets, "_range").withColumn(name, F.col("_offset") + F.col("_inside")).select(*df.columns, name)
+
+
+def with_positions(df: DataFrame, order: Sequence[str], name: str = "position", rows_per_range: int | None = None) -> DataFrame:
+    """``df`` with the place (from 1, a long) of each row in the order of the columns, nulls first; rows that tie get distinct places."""
+    out = with_running(df, order, F.lit(1), name, rows_per_range)
+    return out.withColumn(name, F.col(name) + 1)
 
 
 def with_segments(df: DataFrame, order: str, parts: Sequence[str], name: str = "segment", span: int = ROWS_PER_RANGE) -> DataFrame:

@@ -154,13 +154,26 @@ def group_sizes(rows: DataFrame, table: str = "tb", chunk: str = "chunk", size:
 
 
 def even_parts(sizes: DataFrame, workers: int, min_rows: int, table: str = "tb") -> DataFrame:
-    """``table_even`` without the alignment, as a frame: tables large enough for all workers are cut into that many parts."""
-    n = F.when(F.col("rows") >= workers * min_rows, F.lit(workers)).otherwise(F.lit(1))
-    cut = sizes.withColumn("_n", n).withColumn("part", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    bound = lambda k: F.floor(F.col("rows") * k / F.col("_n"))
-    out = cut.withColumns({"start_row": bound(F.col("part") - 1), "end_row": bound(F.col("part"))})
+    """``table_even`` as a frame: tables large enough for all workers are cut into that many parts, each cut at a multiple of ``min_rows`` near an even share."""
+    unit, rows = max(1, min_rows), F.col("rows")
+    whole = rows.cast("long")
+
+    def cut(at, left):
+        rest = whole - at["start"]
+        share, most = F.ceil(rest / left).cast("long"), rest - (left - 1)
+        down = share - share % unit
+        fits = lambda x: (x >= 1) & (x <= most)
+        near = F.when(fits(down) & (~fits(down + unit) | (share - down <= down + unit - share)), down).when(fits(down + unit), down + unit).otherwise(F.greatest(F.lit(1), F.least(share, most)))
+        size = F.when(left == 1, rest).otherwise(near)
+        return F.struct((at["start"] + size).cast("long").alias("start"), F.concat(at["cuts"], F.array((at["start"] + size).cast("long"))).alias("cuts"))
+
+    start = F.struct(F.lit(0).cast("long").alias("start"), F.array(F.lit(0).cast("long")).alias("cuts"))
+    many = F.aggregate(F.sequence(F.lit(workers), F.lit(1), F.lit(-1)), start, cut)["cuts"]
+    cuts = F.when(whole >= workers * unit, many).otherwise(F.array(F.lit(0).cast("long"), whole))
+    out = sizes.withColumn("_cuts", cuts).withColumn("part", F.explode(F.sequence(F.lit(1), F.size("_cuts") - 1)))
+    bound = lambda k: F.get("_cuts", k)
     place = F.row_number().over(Window.orderBy(F.desc("rows"), table, "part")).cast("long")
-    return out.select(table, F.col("part").cast("long").alias("part"), F.col("start_row").cast("long"), F.col("end_row").cast("long"), place.alias("place"))
+    return out.select(table, F.col("part").cast("long").alias("part"), bound(F.col("part") - 1).alias("start_row"), bound(F.col("part")).alias("end_row"), place.alias("place"))
 
 
 def to_groups(rows: Sequence[Mapping]) -> list[Group]:

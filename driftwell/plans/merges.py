@@ -370,9 +370,14 @@ def partition_table_even(spark, d) -> DataFrame:
     return partition.even_parts(sizes, 4, 100)
 
 
-_EVEN = """WITH s AS (SELECT event_type AS tb, count(*) AS r FROM events GROUP BY 1), n AS (SELECT tb, r, CASE WHEN r >= 400 THEN 4 ELSE 1 END AS n FROM s),
-p AS (SELECT tb, r, n, unnest(range(1, n + 1)) AS part FROM n)
-SELECT tb, CAST(part AS BIGINT) AS part, CAST(r * (part - 1) // n AS BIGINT) AS start_row, CAST(r * part // n AS BIGINT) AS end_row, row_number() OVER (ORDER BY r DESC, tb, part) AS place FROM p"""
+_EVEN = """WITH RECURSIVE s AS (SELECT event_type AS tb, count(*) AS r FROM events GROUP BY 1),
+c AS (SELECT tb, r, 4 AS n, CAST(0 AS BIGINT) AS part, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b FROM s WHERE r >= 400
+  UNION ALL SELECT tb, r, n, part + 1, b, CAST(CASE WHEN part = 3 THEN r ELSE b + CASE
+      WHEN share - share % 100 >= 1 AND share - share % 100 <= most AND (share % 100 <= 50 OR share - share % 100 + 100 > most) THEN share - share % 100
+      WHEN share - share % 100 + 100 <= most THEN share - share % 100 + 100 ELSE greatest(1, least(share, most)) END END AS BIGINT)
+    FROM (SELECT *, CAST(ceil((r - b) / (n - part)) AS BIGINT) AS share, r - b - (n - part - 1) AS most FROM c WHERE part < 4)),
+p AS (SELECT tb, r, part, a, b FROM c WHERE part > 0 UNION ALL SELECT tb, r, 1, 0, r FROM s WHERE r < 400)
+SELECT tb, part, a AS start_row, b AS end_row, row_number() OVER (ORDER BY r DESC, tb, part) AS place FROM p"""
 
 
 def partition_auto_split(spark, d) -> DataFrame:

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
-from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ordered import ROWS_PER_RANGE, cut_points, range_of, with_positions
+from ..operators.ordered import ROWS_PER_RANGE, range_of, with_positions, with_running
 
 #: Outside these bounds of (max - min + 1) / rows an even cut would give chunks that are too empty or too full.
 SPARSEST, DENSEST = 1000.0, 0.05
@@ -70,31 +69,31 @@ def uneven_chunks(df: DataFrame, key: str, batch: int) -> DataFrame:
 
     Rows that share a key stay in one chunk, the one where the first of them falls.
     """
+    cut = _chunked_keys(df, key, batch).groupBy("_chunk").agg(F.max(key).alias("high"), F.sum("_n").alias("rows"))
+    placed = with_positions(cut, ["_chunk"], "chunk", ROWS_PER_RANGE)
+    below = placed.select((F.col("chunk") + 1).alias("chunk"), F.col("high").alias("low"))
+    return placed.join(below, "chunk", "left").select("chunk", "low", "high", "rows")
+
+
+def _chunked_keys(df: DataFrame, key: str, batch: int) -> DataFrame:
+    """Each distinct key with its rows (_n) and the chunk (_chunk, from 1, with gaps behind a key of several chunks' rows) where the first of them falls."""
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    placed = _running(counts, key)
-    chunk = F.floor((F.col("_before")) / F.lit(batch)) + 1
-    cut = placed.groupBy(chunk.cast("long").alias("_chunk")).agg(F.max(key).alias("high"), F.sum("_n").alias("rows"))
-    order = Window.orderBy("_chunk")
-    return cut.select(F.row_number().over(order).cast("long").alias("chunk"), F.lag("high").over(order).alias("low"), "high", "rows")
-
-
-def _running(counts: DataFrame, key: str) -> DataFrame:
-    """Rows before each distinct key: a running sum within ranges of the key, the ranges' sums as offsets."""
-    total = counts.count()
-    cuts = cut_points(counts, key, ceil(total / ROWS_PER_RANGE), total)
-    ranged = counts.withColumn("_range", range_of(F.col(key), cuts))
-    sums = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.sum("_n").alias("n")).collect()} if cuts else {}
-    offsets, before = [], 0
-    for k in range(len(cuts) + 1):
-        offsets.append(F.lit(before).cast("long"))
-        before += sums.get(k, 0)
-    inside = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = F.sum("_n").over(inside) - F.col("_n")
-    return ranged.withColumn("_before", F.array(*offsets)[F.col("_range")] + local).drop("_range")
+    placed = with_running(counts, [key], F.col("_n"), "_before", ROWS_PER_RANGE)
+    return placed.select(key, "_n", (F.floor(F.col("_before") / F.lit(batch)) + 1).cast("long").alias("_chunk"))
+
+
+def with_uneven_chunk(df: DataFrame, key: str, batch: int, name: str = "chunk") -> DataFrame:
+    """The chunk of each row as ``uneven_chunks`` numbers them, by joins on the key and the chunk: no list of chunks is made."""
+    keys = _chunked_keys(df, key, batch).drop("_n")
+    numbers = with_positions(keys.select("_chunk").distinct(), ["_chunk"], name, ROWS_PER_RANGE)
+    return df.join(keys.join(numbers, "_chunk").select(key, name), key, "left").select(*df.columns, name)
 
 
 def plan_chunks(df: DataFrame, key: str, batch: int) -> list[Chunk]:
-    """Chunks of a table: even if its keys are integers that lie well, else uneven; a single one if it can't be cut."""
+    """Chunks of a table: even if its keys are integers that lie well, else uneven; a single one if it can't be cut.
+
+    The list is what a reader over JDBC needs, a predicate and a partition each; ``batch`` is chosen so that it is short.
+    """
     kind = df.schema[key].dataType
     if not splittable(kind):
         return [Chunk(1)]
@@ -107,7 +106,7 @@ def plan_chunks(df: DataFrame, key: str, batch: int) -> list[Chunk]:
 
 
 def with_chunk(df: DataFrame, key: str, chunks: Sequence[Chunk], name: str = "chunk") -> DataFrame:
-    """The chunk of each row by its key; null keys have none, the null pass reads them."""
+    """The chunk of each row by its key, for a list of chunks as ``plan_chunks`` gives it; null keys have none, the null pass reads them."""
     inner = [c.high for c in chunks[:-1]]
     return df.withColumn(name, F.when(F.col(key).isNotNull(), range_of(F.col(key), inner, chunks[0].number).cast("long")))
 

@@ -219,6 +219,15 @@ class TestScan:
         cuts = scan.uneven_chunks(df, "k", 60).orderBy("chunk").collect()
         assert [c.rows for c in cuts] == [60] * 8 + [20] and cuts[0].low is None and all(a.high == b.low for a, b in zip(cuts, cuts[1:]))
 
+    def test_uneven_chunks_by_join(self, spark, monkeypatch):
+        rows = [(k,) for k in range(40) for _ in range(1 if k % 5 else 9)] + [(None,), (None,)]
+        df = spark.createDataFrame(rows, "k int")
+        for span in (7, 1000):
+            monkeypatch.setattr(scan, "ROWS_PER_RANGE", span)
+            cuts = [scan.Chunk(r.chunk, r.low, r.high) for r in scan.uneven_chunks(df, "k", 4).orderBy("chunk").collect()]
+            joined = got(scan.with_uneven_chunk(df, "k", 4).groupBy("chunk").count())
+            assert joined == got(scan.with_chunk(df, "k", cuts).groupBy("chunk").count()) and (None, 2) in joined
+
     def test_keyset(self, spark):
         df = spark.createDataFrame([(1, 9), (2, 1), (2, 2), (3, 0), (None, 5)], "a int, b int")
         assert got(df.filter(scan.keyset(["a", "b"], [2, 1]))) == [(2, 2), (3, 0)]
@@ -308,6 +317,17 @@ class TestKeyValue:
         df = spark.createDataFrame([(["mset", "a", "1", "b", "2"],), (["DEL", "x", "y"],), (["EVAL", "s", "2", "k1", "k2", "arg"],), (["ZUNIONSTORE", "d", "1", "s"],), (["ping"],)], "args array<string>")
         assert [r[0] for r in df.select(keyvalue.command_keys(F.col("args"))).collect()] == [["a", "b"], ["x", "y"], ["k1", "k2"], ["d", "s"], []]
 
+    def test_more_keys(self, spark):
+        cases = [
+            ("BITOP AND dest a b", "dest a b"), ("incrby n 5", "n"), ("BLPOP a b 0", "a b"), ("sort l limit 0 5 store d", "l d"), ("SORT l", "l"), ("GEORADIUS g 1 2 3 km STOREDIST d", "g d"),
+            ("XREADGROUP GROUP g c STREAMS s1 s2 > >", "s1 s2"), ("xgroup create s g $", "s"), ("LMPOP 2 a b LEFT", "a b"), ("ZDIFFSTORE d 2 a b", "d a b"), ("EVAL x 0", ""), ("copy a b replace", "a b"),
+            ("HINCRBY h f 1", "h"), ("expireat k 9", "k"), ("PUBLISH c m", ""), ("LCS a b", "a b"), ("ZRANGESTORE d s 0 1", "d s"),
+        ]
+        df = spark.createDataFrame([(i, c.split()) for i, (c, _) in enumerate(cases)], "i int, args array<string>")
+        assert [r[1] for r in df.select("i", keyvalue.command_keys(F.col("args"))).orderBy("i").collect()] == [k.split() for _, k in cases]
+        with pytest.raises(Exception, match="unknown command"):
+            spark.createDataFrame([(["nothing", "a"],)], "args array<string>").select(keyvalue.command_keys(F.col("args"))).collect()
+
 
 class TestDocuments:
     def test_updates(self):
@@ -331,6 +351,15 @@ class TestPartition:
         assert sum(cut) == 147 and max(cut) <= 2 * 36 and min(cut) >= 7
 
 
+def test_even_parts_are_those_of_the_plan(spark):
+    for unit in (1, 7, 10, 100):
+        sizes = [("a", 1000), ("b", 41), ("c", 403), ("d", 5), ("e", 77)]
+        df = spark.createDataFrame(sizes, "tb string, rows long")
+        out = [(r.tb, r.start_row, r.end_row) for r in partition.even_parts(df, 4, unit).orderBy("place").collect()]
+        plan = partition.plan_parts([partition.Group(t, 1, n, 0) for t, n in sizes], 4, partition.Rebalance("table_even", min_rows=unit))
+        assert out == [(p.table, p.start, p.end) for p in plan]
+
+
 def test_network_dates(spark):
     df = spark.createDataFrame([(datetime.date(2024, 1, 1),)], "d date")
     assert df.select(values.canonical(F.col("d"), T.DateType())).first()[0] == "2024-01-01"
