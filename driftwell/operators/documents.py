@@ -81,6 +81,40 @@ def applied(document: dict, update: dict) -> dict:
     return out
 
 
+def apply_documents(target: DataFrame, changes: DataFrame) -> DataFrame:
+    """``target`` (_id, doc: JSON texts) after ``changes`` (op, seq, _id, doc, update), replayed in the order of ``seq``.
+
+    insert and replace give the whole ``doc``, delete removes it, update applies ``update`` (``$set`` and ``$unset``); an update of a document that is
+    not there makes one of its id and the fields set.  One aggregation finds each document's last whole state and the updates after it; only
+    documents that the batch names leave the target's scan.
+    """
+    whole = F.when(F.col("op") != "update", F.col("seq"))
+    later = F.when(F.col("op") == "update", F.struct("seq", "update"))
+    net = changes.groupBy("_id").agg(F.max(whole).alias("since"), F.max_by(F.struct("op", "doc"), whole).alias("last"), F.sort_array(F.collect_list(later)).alias("updates"))
+    updates = F.transform(F.filter("updates", lambda u: F.col("since").isNull() | (u["seq"] > F.col("since"))), lambda u: u["update"])
+    net = net.select("_id", "since", F.when(F.col("last.op") != "delete", F.col("last.doc")).alias("whole"), updates.alias("updates"))
+    kept = target.select("_id", "doc").join(net.select("_id"), "_id", "left_anti")
+    known = target.select("_id", "doc").join(net.select("_id"), "_id", "left_semi")
+    start = F.when(F.col("since").isNull(), F.col("doc")).otherwise(F.col("whole"))
+    met = net.join(known, "_id", "left").select("_id", start.alias("doc"), "updates")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = []
+            for key, doc, some in zip(*(batch.column(c).to_pylist() for c in ("_id", "doc", "updates")), strict=True):
+                if some:
+                    state = json.loads(doc) if doc else {"_id": json.loads(key)}
+                    for update in some:
+                        state = applied(state, json.loads(update or "{}"))
+                    doc = _compact(state)
+                docs.append(doc)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(docs, pa.string())], names=["_id", "doc"])
+
+    plain = met.filter(F.size("updates") == 0).select("_id", "doc")
+    changed = met.filter(F.size("updates") > 0).mapInArrow(run, "_id string, doc string")
+    return kept.unionByName(plain.filter("doc IS NOT NULL")).unionByName(changed)
+
+
 def with_updates(entries: DataFrame, entry: str = "entry", full: str | None = None) -> DataFrame:
     """``update`` (JSON text, null where there is nothing to do or the entry is no object); nesting has no bound, so batches go through Python.
 

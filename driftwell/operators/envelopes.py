@@ -160,15 +160,21 @@ def decode(data: bytes) -> dict:
     return row
 
 
-def to_avro(rows: DataFrame) -> DataFrame:
-    """``key`` and ``value``, the envelope as an Avro datum.  Spark's own Avro functions are in a package that may be absent, so batches are encoded in Arrow workers."""
+def to_avro(rows: DataFrame, named: bool = False) -> DataFrame:
+    """``key`` and ``value``, the envelope as an Avro datum, and the table's ``schema`` and ``tb`` if asked for.
+
+    Spark's own Avro functions are in a package that may be absent, so batches are encoded in Arrow workers.
+    """
+    names = ["key", "value", *(["schema", "tb"] if named else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [encode(x) for x in batch.select(batch.schema.names[1:]).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["key", "value"])
+            table = [batch.column(c) for c in names[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), *table], names=names)
 
-    return rows.select("key", "schema", "tb", "operation", "fields", "before", "after").mapInArrow(run, "key string, value binary")
+    kinds = "key string, value binary" + (", schema string, tb string" if named else "")
+    return rows.select("key", "schema", "tb", "operation", "fields", "before", "after").mapInArrow(run, kinds)
 
 
 def from_avro(rows: DataFrame, value: str = "value") -> DataFrame:

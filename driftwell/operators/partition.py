@@ -23,6 +23,11 @@ def evenly(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n)
 
 
+def serially(df: DataFrame, *order: str) -> DataFrame:
+    """All rows in one task, in an order: for targets that take nothing else.  Everything before it stays parallel."""
+    return df.repartition(1).sortWithinPartitions(*order)
+
+
 def key_bucket(df: DataFrame, n: int, column: str, name: str = "bucket") -> DataFrame:
     """The bucket of a key, the same in any engine: from its MD5."""
     return df.withColumn(name, F.pmod(F.conv(F.substring(F.md5(F.col(column).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(n)))

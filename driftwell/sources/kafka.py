@@ -7,14 +7,17 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.envelopes import from_avro, to_avro
 from ..operators.routing import topic
 
 
-def read_envelopes(spark: SparkSession, servers: str, topics: str, schema, per_batch: int | None = None, options: Mapping[str, str] | None = None) -> DataFrame:
-    """JSON envelopes as a stream; ``per_batch`` bounds a micro-batch."""
+def read_envelopes(spark: SparkSession, servers: str, topics: str, schema=None, per_batch: int | None = None, options: Mapping[str, str] | None = None) -> DataFrame:
+    """Envelopes as a stream: Avro data, or JSON texts of the ``schema`` given; ``per_batch`` bounds a micro-batch."""
     reader = spark.readStream.format("kafka").options(**{"kafka.bootstrap.servers": servers, "subscribe": topics, **(options or {})})
     if per_batch:
         reader = reader.option("maxOffsetsPerTrigger", per_batch)
+    if schema is None:
+        return from_avro(reader.load())
     return reader.load().select(F.from_json(F.col("value").cast("string"), schema).alias("e"), "topic", "partition", "offset").select("e.*", "topic", "partition", "offset")
 
 
@@ -24,6 +27,11 @@ def messages(envelopes: DataFrame, topics: Mapping[tuple[str, str], str]) -> Dat
     return envelopes.select(topic(F.col("schema"), F.col("tb"), topics).alias("topic"), F.col("key").cast("string").alias("key"), body.alias("value"))
 
 
-def write_envelopes(stream: DataFrame, servers: str, topics: Mapping[tuple[str, str], str], checkpoint: str):
-    out = messages(stream, topics)
+def avro_messages(envelopes: DataFrame, topics: Mapping[tuple[str, str], str]) -> DataFrame:
+    """The same with the envelope (as ``operators.envelopes`` makes it) as an Avro datum."""
+    return to_avro(envelopes, named=True).select(topic(F.col("schema"), F.col("tb"), topics).alias("topic"), "key", "value")
+
+
+def write_envelopes(stream: DataFrame, servers: str, topics: Mapping[tuple[str, str], str], checkpoint: str, avro: bool = True):
+    out = avro_messages(stream, topics) if avro else messages(stream, topics)
     return out.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("checkpointLocation", checkpoint).start()

@@ -1,7 +1,7 @@
 """Dump files of a key-value store: one row per key.
 
 A file is read by one task, as its format has no index; keys come out in batches, so memory holds the largest object, not the file.
-Objects of modules are skipped, streams come with their entries.
+Objects of modules come as keys without items, streams with their entries but without consumer groups.
 """
 
 from __future__ import annotations
@@ -316,8 +316,9 @@ def entries(data: bytes) -> Iterator[Entry]:
         else:
             start = c.at
             key = c.text()
-            if (items := _object(c, op)) is not None:
-                yield Entry(db, key, NAMES[op], items, expire, freq, c.at - start)
+            items = _object(c, op)
+            # a module's own bytes mean nothing here: the key is known, its items are not
+            yield Entry(db, key, "module" if items is None else NAMES[op], items or [], expire, freq, c.at - start)
             expire = freq = None
 
 

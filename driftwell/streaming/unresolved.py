@@ -8,9 +8,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..meta import TableMeta
+from ..operators import check
+
 OUT = "key string, kind string, seq long"
 STATE = "kind string, seq long"
 
@@ -36,9 +40,24 @@ def follow(findings: DataFrame) -> DataFrame:
     return findings.groupBy("key").applyInPandasWithState(_follow, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def key_text(meta: TableMeta) -> Column:
+    """A row's key as the state names it: one JSON object."""
+    return F.to_json(F.struct(*meta.id_cols), {"ignoreNullFields": "false"})
+
+
+def rechecked(state: DataFrame, src: DataFrame, dst: DataFrame, meta: TableMeta, seq: int) -> DataFrame:
+    """What a restart adds to the state: each unresolved key looked up again on both sides, with its finding as of ``seq``.
+
+    ``state``: (key, kind, seq) with keys as ``key_text`` writes them; a key that is right by now, or that no side has, is ``same`` and so cleared.
+    """
+    kinds = F.lit(", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in meta.id_cols))
+    keys = state.select(F.from_json("key", kinds).alias("k")).select("k.*")
+    found = check.recheck(keys, src, dst, meta)
+    kind = F.when(F.col("outcome") == "clear", "same").otherwise(F.col("outcome"))
+    return found.select(key_text(meta).alias("key"), kind.alias("kind"), F.lit(seq).cast("long").alias("seq"))
+
+
 def current(changes: DataFrame) -> DataFrame:
     """The unresolved keys, from all changes of state so far."""
-    from pyspark.sql import functions as F
-
     last = changes.groupBy("key").agg(F.max_by(F.struct("kind", "seq"), "seq").alias("s")).select("key", "s.*")
     return last.filter("kind <> 'same'")
