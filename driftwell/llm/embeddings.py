@@ -3,18 +3,19 @@
 A hash function is three rounds of random signs and a fast Hadamard transform; its value is the
 index and sign of the largest coordinate.  ``k`` functions make a bucket number, ``tables`` of them an index.  Each vector
 stands in its own bucket and, per table, in ``PROBES`` more: those where its least certain function takes the second-largest
-coordinate.  Vectors that share a bucket, at least one of them as its own, are compared by cosine in double precision.
-``k`` follows the number of vectors, so a bucket's expected load stays below one; ``tables`` follows from the measured chance that
-a pair at the threshold meets in one table, for a recall of ``RECALL``.
+coordinate.  Vectors that share a bucket are candidates.  ``k`` follows the number of vectors, so a bucket's expected load stays below one;
+``tables`` follows from the measured chance that a pair at the threshold meets in one table, for a recall of ``RECALL``.  A threshold
+that ``MOST_TABLES`` tables can't serve is refused.
 
-Equal vectors are one class and enter once.  A bucket's members are cut into blocks of about ``BLOCK`` by a hash, and each pair of blocks is
-one row to compare, so a bucket of any size is compared whole and no task holds more than two blocks.  A block pair
-gives one row per member: the weight of its links, counted only in the first bucket in which the pair meets, and a link to the smallest
-linked member of the block pair.  Pairs are never written.
+Equal vectors are one class and enter once, by a number.  Only numbers stand in buckets.  Where a bucket has several, the signs of 64 random
+projections rule out pairs that are far apart (six standard deviations beyond the threshold's angle), and each pair left is compared in one bucket
+only, the fullest that both are in.  Such buckets are sent the vectors, each with the list of its partners there: candidates are never rows, and
+a vector travels about once.  Cosines are taken in double precision.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
 lengths do not link; a null id takes part and names a component only if it has no other; rows that repeat an id
-are judged each for itself; an empty table gives an empty table; input columns named like a result are replaced.
+are judged each for itself; an empty table gives an empty table; input columns named like a result (in any case) are replaced, all others
+come back whatever their names.
 """
 
 from __future__ import annotations
@@ -25,15 +26,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lowest_reachable, sql_name, stash
+from . import meetings
+from .common import components, lowest_reachable, mix, positional, stash
 
 PROBES = 3
 RECALL = 0.995
-BLOCK = 256
-MOST_TABLES = 40
+MOST_TABLES = 60
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -94,16 +96,15 @@ def hasher(dim: int, k: int, tables: int) -> Hasher:
 
 
 def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the pairs of code rows meet, by table."""
-    return (a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)
+    """Whether the pairs of code rows share a bucket, by table."""
+    return (a[:, :, :, None] == b[:, :, None, :]).any(axis=(2, 3))
 
 
 @lru_cache(maxsize=32)
 def shape_of(dim: int, n: int, cosine: float) -> tuple[int, int]:
-    """(k, tables) for ``n`` vectors of a length."""
+    """(k, tables) for ``n`` vectors of a length: the largest k up to what n asks for that reaches the recall within ``MOST_TABLES``."""
     wide = 1 << max(1, (dim - 1).bit_length())
     per = np.log2(2 * wide)
-    k = int(np.clip(np.ceil((np.log2(max(n, 2)) + 3) / per), 1, 60 // per))
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -111,9 +112,25 @@ def shape_of(dim: int, n: int, cosine: float) -> tuple[int, int]:
     y -= (y * x).sum(axis=1, keepdims=True) * x
     length = np.linalg.norm(y, axis=1, keepdims=True)
     y = cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * y / np.where(length > 0, length, 1)
-    h = Hasher(dim, k, 1)
-    rate = float(_meet(h(x), h(y)).mean())
-    return k, int(np.clip(np.ceil(np.log(1 - RECALL) / np.log(1 - min(max(rate, 0.05), 0.999))), 2, MOST_TABLES))
+    for k in range(int(np.clip(np.ceil((np.log2(max(n, 2)) + 3) / per), 1, 60 // per)), 0, -1):
+        h = Hasher(dim, k, 1)
+        rate = float(np.clip(_meet(h(x), h(y)).mean(), 1e-9, 0.999))
+        tables = max(2, int(np.ceil(np.log(1 - RECALL) / np.log(1 - rate))))
+        if tables <= MOST_TABLES:
+            return k, tables
+    raise ValueError(f"a cosine of {cosine} at {dim} dimensions needs {tables} tables for a recall of {RECALL}: more than {MOST_TABLES}")
+
+
+def signs(x: np.ndarray) -> np.ndarray:
+    """64 bits of unit vectors: on which side of random planes they lie."""
+    planes = np.random.default_rng(77 + x.shape[1]).normal(size=(x.shape[1], 64))
+    return np.packbits(x @ planes > 0, axis=1, bitorder="little").view(np.int64)[:, 0]
+
+
+def sign_distance(cosine: float) -> int:
+    """Bits in which two vectors at a cosine differ at most: the mean and six standard deviations."""
+    share = float(np.arccos(np.clip(cosine, -1, 1))) / np.pi
+    return min(64, int(np.ceil(64 * share + 6 * np.sqrt(64 * share * (1 - share)))))
 
 
 def _unit(values) -> np.ndarray | None:
@@ -130,117 +147,97 @@ def _unit(values) -> np.ndarray | None:
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``vectors`` without the vector, with n_links, component_id, kept."""
     made = ["n_links", "component_id", "kept"]
-    others = [c for c in vectors.columns if c != vector_col and c.lower() not in made]
-    src = vectors.select(*[F.col(sql_name(c)) for c in others], F.col(sql_name(vector_col)).cast("array<double>").alias("_v"))
-    schema = src.drop("_v").schema.add("_key", "binary").add("_dim", "integer").add("_unit", "binary")
+    given = positional(vectors, made, [vector_col])
+    src = given.frame.select(given.row(), given[id_col].alias("_id"), given[vector_col].cast("array<double>").alias("_v"))
+    schema = src.select("_row", "_id").schema.add("_key", "binary").add("_dim", "integer").add("_unit", "binary")
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = [_unit(x.values) if x.is_valid else None for x in batch.column(batch.num_columns - 1)]
+            units = [_unit(x.values) if x.is_valid else None for x in batch.column(2)]
             raw = [None if u is None else u.astype("<f8").tobytes() for u in units]
             keys = [None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in raw]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(keys, pa.binary()), pa.array([None if u is None else len(u) for u in units], pa.int32()), pa.array(raw, pa.binary())],
-                names=[*batch.schema.names[:-1], "_key", "_dim", "_unit"],
+                [*batch.columns[:2], pa.array(keys, pa.binary()), pa.array([None if u is None else len(u) for u in units], pa.int32()), pa.array(raw, pa.binary())],
+                names=["_row", "_id", "_key", "_dim", "_unit"],
             )
 
     rows = stash(src.mapInArrow(normal, schema), "vectors")
-    valid = rows.filter("_key IS NOT NULL")
-    classes = valid.groupBy("_key").agg(F.min(sql_name(id_col)).alias("low"), F.count("*").alias("n"), F.min("_dim").alias("dim"), F.min("_unit").alias("unit"))
-    classes = stash(classes.withColumnRenamed("_key", "key"), "vector-classes")
+    classes = rows.filter("_key IS NOT NULL").groupBy("_key").agg(F.min("_id").alias("low"), F.count("*").alias("n"), F.min("_dim").alias("dim"), F.min("_unit").alias("unit"))
+    classes = stash(classes.withColumn("key", F.monotonically_increasing_id()), "vector-classes")
+    # a row per length of vectors
     shapes = {r["dim"]: shape_of(r["dim"], r["n"], cosine) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column(1).to_numpy()
-            for dim in np.unique(dims).tolist():
-                part = batch.filter(pa.array(dims == dim))
-                h = hasher(dim, *shapes[dim])
-                for at in range(0, part.num_rows, 2048):
-                    some = part.slice(at, 2048)
-                    x = np.frombuffer(b"".join(some.column(2).to_pylist()), "<f8").reshape(-1, dim)
-                    codes = h(x)
-                    flat = codes.astype("<i8").reshape(len(x), -1)
-                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(3), some.column(2), pa.array([c.tobytes() for c in flat], pa.binary())], names=["key", "dim", "n", "unit", "codes"])
-
-    index = stash(classes.select("key", "dim", "unit", "n").mapInArrow(hashed, "key binary, dim int, n long, unit binary, codes binary"), "vector-codes")
+    def each_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, numbers, unit vectors) of the rows (key, dim, unit), in parts."""
+        dims = batch.column(1).to_numpy()
+        for dim in np.unique(dims).tolist():
+            part = batch.filter(pa.array(dims == dim))
+            for at in range(0, part.num_rows, 2048):
+                some = part.slice(at, 2048)
+                yield dim, some.column(0).to_numpy(), np.frombuffer(b"".join(some.column(2).to_pylist()), "<f8").reshape(-1, dim)
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
-                keys, dims, tables, numbers, own = [], [], [], [], []
-                for key, dim, data in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True):
-                    h = hasher(dim, *shapes[dim])
-                    codes = np.frombuffer(data, "<i8").reshape(h.tables, -1)
-                    keys += [key] * codes.size
-                    dims += [dim] * codes.size
-                    tables.append(np.repeat(np.arange(h.tables), codes.shape[1]))
-                    numbers.append(codes.reshape(-1))
-                    own.append(np.tile(np.arange(codes.shape[1]) == 0, h.tables))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(np.concatenate(tables), pa.int32()), pa.array(np.concatenate(numbers)), pa.array(np.concatenate(own))], names=["key", "dim", "t", "bucket", "own"])
-
-    spots = index.select("key", "dim", "codes").mapInArrow(buckets, "key binary, dim int, t int, bucket long, own boolean")
+            for dim, keys, x in each_length(batch):
+                codes = hasher(dim, *shapes[dim])(x)
+                place = np.uint64(xxhash.xxh64_intdigest(f"{dim}")) + np.arange(codes.shape[1], dtype=np.uint64)[:, None]
+                names = mix(mix(place)[None] ^ codes.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(names.reshape(-1).view(np.int64)), pa.array(np.repeat(keys, codes[0].size))], names=["x", "key"])
+
+    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for edges, (x, key) in meetings.whole_runs(batches):
+            size = np.diff(edges)
+            many = np.repeat(size > 1, size)
+            yield pa.RecordBatch.from_arrays([pa.array(x[many]), pa.array(key[many]), pa.array(np.repeat(size, size)[many])], names=["x", "key", "load"])
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, keys, x in each_length(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(signs(x))], names=["key", "sketch"])
+
+    units = classes.select("key", "dim", "unit")
+    spots = units.mapInArrow(buckets, "x long, key long").repartition("x").sortWithinPartitions("x").mapInArrow(crowded, "x long, key long, load long")
     spots = stash(spots, "vector-spots")
-    place = ["dim", "t", "bucket"]
-    loads = spots.groupBy(*place).agg(F.count("*").alias("load"), F.max("own").alias("has_own")).filter("load > 1 AND has_own").drop("has_own")
-    members = spots.join(loads.hint("merge"), place)
-    members = members.withColumn("blocks", F.ceil(F.col("load") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    full = members.join(index.select("key", "n", "unit", "codes").hint("merge"), "key")
-    packed = full.groupBy(*place, "blocks", "block").agg(F.collect_list(F.struct("key", "own", "n", "unit", "codes")).alias("m"))
-    mates = packed.select(*place, "block", "m", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = mates.groupBy(*place, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("block", "m")).alias("sides"))
+    sketches = stash(units.mapInArrow(sketched, "key long, sketch long"), "vector-signs")
+    members = spots.join(sketches.hint("merge"), "key").withColumn("class", F.col("key"))
+    most = sign_distance(cosine)
+
+    def may_link(values: list[np.ndarray], p: slice, q: slice) -> np.ndarray:
+        bits = values[0].view(np.uint64)
+        return np.bitwise_count(bits[p, None] ^ bits[q]) <= most
+
+    asked = meetings.partners(members, ["sketch"], may_link)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for dim, t, bucket, i, j, sides in zip(*(batch.column(c) for c in range(6)), strict=True):
-                dim, t, bucket = dim.as_py(), t.as_py(), bucket.as_py()
-                h = hasher(dim, *shapes[dim])
-                side = [x for s in sorted(sides.as_py(), key=lambda s: s["block"]) for x in s["m"]]
-                split = len(side) if i.as_py() == j.as_py() else sum(len(s["m"]) for s in sides.as_py() if s["block"] == i.as_py())
-                if len(side) < 2 or i.as_py() != j.as_py() and split in (0, len(side)):
-                    continue
-                x = np.frombuffer(b"".join(s["unit"] for s in side), "<f8").reshape(len(side), dim)
-                own = np.array([s["own"] for s in side])
-                n = np.array([s["n"] for s in side])
-                keys = [s["key"] for s in side]
-                if i.as_py() == j.as_py():
-                    a, b = np.nonzero(np.triu(x @ x.T >= cosine, 1))
-                else:
-                    a, b = np.nonzero(x[:split] @ x[split:].T >= cosine)
-                    b = b + split
-                same = np.array([keys[p] == keys[q] for p, q in zip(a, b, strict=True)], bool)
-                use = (own[a] | own[b]) & ~same
-                a, b = a[use], b[use]
-                if not len(a):
-                    continue
-                codes = np.frombuffer(b"".join(s["codes"] for s in side), "<i8").reshape(len(side), h.tables, -1)
-                links = np.zeros(len(side), np.int64)
-                for at in range(0, len(a), 20000):
-                    p, q = a[at : at + 20000], b[at : at + 20000]
-                    cp, cq = codes[p], codes[q]
-                    first = _meet(cp, cq).argmax(axis=1)
-                    r = np.arange(len(p))
-                    one, two = cp[r, first, 0], cq[r, first, 0]
-                    none = np.iinfo(np.int64).max
-                    one = np.where((cq[r, first] == one[:, None]).any(axis=1), one, none)
-                    two = np.where((cp[r, first] == two[:, None]).any(axis=1), two, none)
-                    here = (first == t) & (np.minimum(one, two) == bucket)
-                    np.add.at(links, p[here], n[q[here]])
-                    np.add.at(links, q[here], n[p[here]])
-                low = lowest_reachable(len(side), a, b)
-                some = np.flatnonzero((links > 0) | (low != np.arange(len(side))))
-                yield pa.RecordBatch.from_arrays([pa.array([keys[s] for s in some], pa.binary()), pa.array(links[some]), pa.array([keys[s] for s in low[some]], pa.binary())], names=["key", "links", "to"])
-
-    found = stash(pairs.mapInArrow(compared, "key binary, links long, to binary"), "vector-links")
+        for edges, table in meetings.runs_of_rows(batches):
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                part = table.slice(lo, hi - lo)
+                keys, n = part.column(1).to_numpy(), part.column(3).to_numpy()
+                raw, place = part.column(4).to_pylist(), {k: i for i, k in enumerate(keys.tolist())}
+                links, a, b = np.zeros(len(keys), np.int64), [], []
+                for i, mine in enumerate(part.column(2).to_pylist()):
+                    some = [j for j in map(place.__getitem__, mine) if len(raw[j]) == len(raw[i])]
+                    if not some:
+                        continue
+                    others = np.frombuffer(b"".join([raw[j] for j in some]), "<f8").reshape(len(some), -1)
+                    near = np.array(some)[others @ np.frombuffer(raw[i], "<f8") >= cosine]
+                    links[i] += n[near].sum()
+                    links[near] += n[i]
+                    a += [i] * len(near)
+                    b += near.tolist()
+                low = lowest_reachable(len(keys), np.array(a, np.int64), np.array(b, np.int64))
+                found = np.flatnonzero(links)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[found]), pa.array(links[found]), pa.array(keys[low[found]])], names=["key", "links", "to"])
+
+    sent = asked.join(classes.select("key", "n", "unit").hint("merge"), "key").select("g", "key", "partners", "n", "unit")
+    found = stash(sent.repartition("g").sortWithinPartitions("g").mapInArrow(compared, "key long, links long, to long"), "vector-links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    comp = components(found.select(F.col("key").alias("a"), F.col("to").alias("b")).filter("a <> b"))
-    of = classes.select("key", "low", "n").join(comp.select(F.col("node").alias("key"), "component").hint("merge"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    lowest = of.groupBy("component").agg(F.min("low").alias("component_id"))
-    of = of.join(lowest.hint("merge"), "component").join(links.hint("merge"), "key", "left")
-    of = stash(of.select(F.col("key").alias("_key"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "vector-results")
-    out = rows.drop("_unit", "_dim").join(of.hint("merge"), "_key", "left")
-    own_id = F.col(sql_name(id_col))
-    component = F.when(F.col("_key").isNull(), own_id).otherwise(F.col("component_id"))
-    return out.select(*[F.col(sql_name(c)) for c in others], F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), own_id.eqNullSafe(component).alias("kept"))
+    comp = components(found.select(F.col("key").alias("a"), F.col("to").alias("b")))
+    of = classes.select("_key", "key", "low", "n").join(comp.select(F.col("node").alias("key"), "component").hint("merge"), "key", "left")
+    of = stash(of.join(links.hint("merge"), "key", "left").withColumn("component", F.coalesce("component", "key")), "vector-components")
+    # written before it is joined: adaptive execution then splits a large component
+    lowest = stash(of.groupBy("component").agg(F.min("low").alias("component_id")), "vector-lowest")
+    of = stash(of.join(lowest.hint("merge"), "component").select("_key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "vector-results")
+    out = rows.select("_row", "_id", "_key").join(of.hint("merge"), "_key", "left")
+    component = F.when(F.col("_key").isNull(), F.col("_id")).otherwise(F.col("component_id"))
+    return given.back(out, F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))

@@ -1,6 +1,6 @@
 import numpy as np
 
-from driftwell.llm import embeddings
+from driftwell.llm import embeddings, meetings
 
 from .brute import joined
 
@@ -43,7 +43,7 @@ def test_recall_at_the_threshold():
 
 
 def test_clusters_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    monkeypatch.setattr(meetings, "PART", 16)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 32))
     vectors = [centres[rng.integers(12)] + rng.normal(size=32) * rng.choice([0.0, 0.02, 0.08]) for _ in range(350)]
@@ -70,3 +70,36 @@ def test_unfit_vectors_and_repeats(spark):
     assert [g for g in got if g[0] in (7, 8, 9, 11)] == [(7, 3, 7, True), (8, 3, 7, False), (9, 0, 9, True), (11, 3, 7, False)]
     assert sorted(g[1:3] for g in got if g[0] == 10) == [(0, 10), (3, 7)]
     assert run(df.limit(0)) == []
+
+
+def test_one_dense_cluster_sends_a_vector_about_once(spark, monkeypatch):
+    """A cluster of distinct vectors that all link: links are those of all pairs, and rows grow with its members, not with its pairs."""
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=24)
+    rows = [(i, [float(np.float32(x)) for x in centre + rng.normal(size=24) * 0.02]) for i in range(300)]
+    sizes = {}
+    monkeypatch.setattr(meetings, "stash", lambda df, tag, keep=meetings.stash: sizes.setdefault(tag, keep(df, tag)))
+    assert run(spark.createDataFrame(rows, "vec_id long, embedding array<float>")) == brute(rows)
+    assert sizes["partners"].count() <= 5 * 300
+
+
+def test_a_threshold_out_of_reach_is_refused():
+    import pytest
+
+    with pytest.raises(ValueError):
+        embeddings.shape_of(64, 10**6, 0.2)
+    # signs of pairs at the threshold stay within the distance that rules pairs out
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    far = np.bitwise_count((embeddings.signs(x) ^ embeddings.signs(y)).view(np.uint64))
+    assert far.max() <= embeddings.sign_distance(0.95)
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 4, 5, 6), (2, [1.0, 0.1], 4, 5, 6)], "vec_id long, embedding array<double>, _v int, _KEY int, N_links int")
+    out = embeddings.near_duplicates(df)
+    assert out.columns == ["vec_id", "_v", "_KEY", "n_links", "component_id", "kept"] and sorted(r.n_links for r in out.collect()) == [1, 1]

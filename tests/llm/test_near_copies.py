@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from driftwell.llm import near_copies
+from driftwell.llm import meetings, near_copies
 from driftwell.llm.common import stash
 
 from . import brute
@@ -74,7 +74,7 @@ def test_pairs_of_a_meeting():
         shared = rng.random(m) < 0.5  # these meet in a more frequented place too
         met = [[other, here] if both else [here] for both in shared]
         twice = {k for k, both in zip(keys.tolist(), shared) if both}
-        lists = list(near_copies.across(keys, sizes, fps, classes, met.__getitem__, 1))
+        lists = list(meetings.across(keys, classes, [sizes, fps.view(np.int64)], near_copies.may_meet, met.__getitem__, 1, part=7))
         assert {(a, b) for _, _, own, partners in lists for a, p in zip(own, partners) for b in p} == {(x, y) for x, y in want if of[x] != of[y] and not {x, y} <= twice}
 
 
@@ -95,7 +95,7 @@ def test_runs_are_whole():
     x = np.sort(np.random.default_rng(2).integers(0, 30, 500))
     for size in (1, 7, 100, 500):
         batches = (pa.RecordBatch.from_arrays([pa.array(x[i : i + size]), pa.array(np.arange(500)[i : i + size])], names=["x", "n"]) for i in range(0, 500, size))
-        found = [(int(v[a]), n[a:b].tolist()) for edges, (v, n) in near_copies._whole_runs(batches) for a, b in zip(edges[:-1], edges[1:])]
+        found = [(int(v[a]), n[a:b].tolist()) for edges, (v, n) in meetings.whole_runs(batches) for a, b in zip(edges[:-1], edges[1:])]
         assert found == [(int(v), np.flatnonzero(x == v).tolist()) for v in np.unique(x)]
 
 
