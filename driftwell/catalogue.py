@@ -1,6 +1,7 @@
 """The registered queries and the SQL that gives the same rows."""
 
-from .plans import checks, merges, scans, streams
+from .plans import checks, connectors, merges, scans, streams
 
-QUERIES: dict = {**checks.QUERIES, **merges.QUERIES, **scans.QUERIES, **streams.QUERIES}
-SQL: dict = {**checks.SQL, **merges.SQL, **scans.SQL, **streams.SQL}
+_PLANS = (checks, merges, scans, streams, connectors)
+QUERIES: dict = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+SQL: dict = {name: text for plan in _PLANS for name, text in plan.SQL.items()}

@@ -62,22 +62,19 @@ def transform_rows(changes: DataFrame, function: Callable[[Row], Row], schema: s
     back = T.StructType([T.StructField(f.name, f.dataType if f.name in hidden else (seen_type(f.dataType) or f.dataType)) for f in target])
     src = changes.select("op", "seq", shown("before").alias("before"), shown("after").alias("after"), F.col("before").alias("_b"), F.col("after").alias("_a"))
     kept = T.StructType().add("schema", "string").add("tb", "string").add("op", "string").add("seq", "long").add("before", back).add("after", back).add("_b", source).add("_a", source)
-    names = target.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, picked = [], []
-            for k, (op, before, new) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("op", "before", "after")), strict=True)):
+            for k, (op, before, new) in enumerate(zip(batch.column("op").to_pylist(), _dicts(batch.column("before")), _dicts(batch.column("after")), strict=True)):
                 row = function({"schema": schema, "tb": table, "row_type": op, "before": before, "after": new})
                 if row["row_type"]:
                     rows.append(row)
                     picked.append(k)
             some = batch.take(pa.array(picked, pa.int64()))
-            image = lambda x: None if x is None else {n: x.get(n) for n in names}
-            kind = pa.struct([(f.name, _arrow(f.dataType)) for f in back])
+            text = lambda name: pa.array([r[name] for r in rows], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r["schema"] for r in rows], pa.string()), pa.array([r["tb"] for r in rows], pa.string()), pa.array([r["row_type"] for r in rows], pa.string()), some.column("seq"),
-                 pa.array([image(r["before"]) for r in rows], kind), pa.array([image(r["after"]) for r in rows], kind), some.column("_b"), some.column("_a")],
+                [text("schema"), text("tb"), text("row_type"), some.column("seq"), _structs([r["before"] for r in rows], back), _structs([r["after"] for r in rows], back), some.column("_b"), some.column("_a")],
                 names=kept.names,
             )
 
@@ -91,6 +88,33 @@ def transform_rows(changes: DataFrame, function: Callable[[Row], Row], schema: s
     return out.select("schema", "tb", "op", "seq", typed("before", "_b").alias("before"), typed("after", "_a").alias("after"))
 
 
+def _dicts(column: pa.StructArray) -> list[Row | None]:
+    """Rows as dicts, a column at a time: values of a struct one by one cost several times as much."""
+    names, columns = [f.name for f in column.type], [c.to_pylist() for c in column.flatten()]
+    values = zip(*columns, strict=True) if columns else [()] * len(column)
+    return [dict(zip(names, row, strict=True)) if there else None for there, row in zip(column.is_valid().to_pylist(), values, strict=True)]
+
+
+def _structs(rows: list[Row | None], kind: T.StructType) -> pa.StructArray:
+    fields = [pa.field(f.name, _arrow(f.dataType)) for f in kind]
+    columns = [pa.array([None if r is None else r.get(f.name) for r in rows], f.type) for f in fields]
+    return pa.StructArray.from_arrays(columns, fields=fields, mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
+def transform_batches(changes: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], after: T.StructType | None = None) -> DataFrame:
+    """User code on whole Arrow batches with the columns op, seq, before, after; the result has the same, ``after`` naming the images' columns if they change.
+
+    Where code can work on columns this costs a fraction of ``transform_rows``.
+    """
+    image = after or changes.schema["after"].dataType
+    kind = T.StructType().add("op", "string").add("seq", "long").add("before", image).add("after", image)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(function, batches)
+
+    return changes.select("op", F.col("seq").cast("long").alias("seq"), "before", "after").mapInArrow(run, kind)
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
