@@ -1,7 +1,7 @@
 """Byte-level BPE by a rank queue with a hierarchical bitmap.
 
 A pre-token is a linked list of parts.  Each adjacent pair that has a merge rank waits
-in the bucket of its rank; a three-level bitmap over the ranks gives the lowest
+in the bucket of its rank; a two-level bitmap over the ranks, of 256-bit words, gives the lowest
 bucket in use by find-first-set.  Entries that no longer describe a live pair are
 skipped when they come up.  A merge costs a bounded number of steps (and a heap push
 within its bucket), so a pre-token of n bytes costs O(n log n), never O(n^2).
@@ -21,6 +21,8 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import pairwise
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -30,50 +32,13 @@ from pyspark.sql import DataFrame
 from .common import positional
 
 
-class RankQueue:
-    """Buckets by rank; each holds positions in order; three levels of 64-bit words say which are in use."""
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}
-        self.mid: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            a, b = rank >> 6, rank >> 12
-            self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
-            self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
-            self.top |= 1 << b
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        b = (self.top & -self.top).bit_length() - 1
-        word = self.mid[b]
-        a = b << 6 | (word & -word).bit_length() - 1
-        word = self.low[a]
-        rank = a << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[a] &= ~(1 << (rank & 63))
-            if not self.low[a]:
-                self.mid[b] &= ~(1 << (a & 63))
-                if not self.mid[b]:
-                    self.top &= ~(1 << b)
-        return rank, position
+_BIT = [1 << n for n in range(256)]
 
 
 class ByteBPE:
     """Encoder and decoder for one file of ranks."""
 
-    CACHE = 1 << 19
+    CACHE = 1 << 20
     CACHED_BYTES = 64
 
     def __init__(self, vocabulary: str, pattern: str):
@@ -90,36 +55,89 @@ class ByteBPE:
         }
         self.split = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
+        #: Entries that the queue has given, stale ones included.
+        self.pops = 0
+        size = max(self.bytes_of, default=0) + 1
+        self.buckets: list[int | list[int]] = [0] * size
+        self.low = [0] * ((size >> 8) + 1)
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
+        """The ids of one pre-token.
+
+        The queue stands here in full, as a call for each of its steps would cost more than the step.  ``top`` says which words of ``low``
+        are not zero, these which buckets are in use; a bucket has the positions that wait at a rank (one, or a heap).  ``waits`` has the
+        rank of the live pair at each position, so an entry with another rank is stale.  When no live pair is left the words in use are
+        cleared for the next pre-token.
+        """
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        ids = [self.single[b] for b in piece]
-        pair, n = self.pair, len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = RankQueue()
-        for i in range(n - 1):
-            if (r := pair.get(ids[i] << 20 | ids[i + 1])) is not None:
-                queue.push(r, i)
-        while (entry := queue.pop()) is not None:
-            rank, i = entry
+        pair, single, buckets, low, bit = self.pair.get, self.single, self.buckets, self.low, _BIT
+        ids = [single[b] for b in piece]
+        n = len(ids)
+        after, before, waits = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
+        top = alive = pops = 0
+        fresh = [(r, i) for i, (a, b) in enumerate(pairwise(ids)) if (r := pair(a << 20 | b)) is not None]
+        while True:
+            for r, i in fresh:
+                waits[i] = r
+                alive += 1
+                word = r >> 8
+                bits = low[word]
+                mark = bit[r & 255]
+                if not bits & mark:
+                    buckets[r] = i
+                    top |= 1 << word
+                    low[word] = bits | mark
+                elif type(held := buckets[r]) is int:
+                    buckets[r] = [held, i] if held < i else [i, held]
+                else:
+                    heappush(held, i)
+            if not alive:
+                break
+            while True:
+                pops += 1
+                word = (top & -top).bit_length() - 1
+                bits = low[word]
+                rank = word << 8 | (bits & -bits).bit_length() - 1
+                i = buckets[rank]
+                if type(i) is not int:
+                    held = i
+                    i = heappop(held)
+                    if held:
+                        if waits[i] == rank:
+                            break
+                        continue
+                low[word] = bits = bits & (bits - 1)
+                if not bits:
+                    top &= top - 1
+                if waits[i] == rank:
+                    break
             j = after[i]
-            if ids[i] < 0 or j >= n or pair.get(ids[i] << 20 | ids[j]) != rank:
-                continue  # stale: one of the two has been merged away since
             ids[i], ids[j] = rank, -1
+            alive -= 1 if waits[j] < 0 else 2
+            waits[i] = waits[j] = -1
             after[i] = k = after[j]
+            fresh = []
             if k < n:
                 before[k] = i
-                if (r := pair.get(rank << 20 | ids[k])) is not None:
-                    queue.push(r, i)
-            if (h := before[i]) >= 0 and (r := pair.get(ids[h] << 20 | rank)) is not None:
-                queue.push(r, h)
+                if (r := pair(rank << 20 | ids[k])) is not None:
+                    fresh.append((r, i))
+            if (h := before[i]) >= 0:
+                if waits[h] >= 0:
+                    alive -= 1
+                    waits[h] = -1
+                if (r := pair(ids[h] << 20 | rank)) is not None:
+                    fresh.append((r, h))
+        while top:
+            low[(top & -top).bit_length() - 1] = 0
+            top &= top - 1
+        self.pops += pops
         return [x for x in ids if x >= 0]
 
     def _packed(self, piece: str) -> bytes:
         data = piece.encode("utf-8", "surrogatepass")
-        out = np.array(self.merge(data), "<u4").tobytes()
+        ids = self.merge(data)
+        out = pack(f"<{len(ids)}I", *ids)
         if len(data) <= self.CACHED_BYTES:
             if len(self.cache) >= self.CACHE:
                 self.cache.clear()

@@ -6,7 +6,7 @@ import pytest
 import public_tokenizers as P
 import tiktoken
 
-from driftwell.llm.byte_bpe import RankQueue, decoded, encoded, tokenizer
+from driftwell.llm.byte_bpe import decoded, encoded, tokenizer
 
 VOCABULARY = P.path("byte_bpe_50k.tiktoken")
 
@@ -26,13 +26,19 @@ def ids(bpe, text):
     return [int.from_bytes(data[i : i + 4], "little") for i in range(0, len(data), 4)]
 
 
-def test_queue_pops_lowest_rank_then_leftmost():
-    q, rng = RankQueue(), random.Random(1)
-    entries = [(rng.randrange(50000), rng.randrange(1000)) for _ in range(2000)]
-    for e in entries:
-        q.push(*e)
-    assert [q.pop() for _ in entries] == sorted(entries)
-    assert q.pop() is None
+def test_merges_are_those_of_a_plain_scan(bpe):
+    """Lowest rank first, leftmost of equal ranks, by scanning all pairs after each merge."""
+    rng = random.Random(1)
+    for _ in range(400):
+        piece = bytes(rng.choice(b"abcthein 01aaaa") for _ in range(rng.randrange(1, 120)))
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while len(parts) > 1:
+            ranks = [bpe.ranks.get(a + b, 1 << 40) for a, b in zip(parts, parts[1:])]
+            if min(ranks) == 1 << 40:
+                break
+            i = ranks.index(min(ranks))
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert bpe.merge(piece) == ([bpe.ranks[piece]] if piece in bpe.ranks else [bpe.ranks[x] for x in parts])
 
 
 @pytest.mark.parametrize("text", ["", "a", "Hello world", "naïve café — 你好 🙂\n\n  x", "don't 12345 !!!??", "a" * 3000, " " * 500 + "x", "abc" * 2000, "<|endoftext|>"])
@@ -53,26 +59,20 @@ def test_whole_table_is_the_library_s_and_through_the_queue(spark, bpe, referenc
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in encoded(docs, VOCABULARY, P.PATTERN, keep_ids=False).collect()}
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     assert set(got) == set(texts)
-    pops, merges, pop = 0, 0, RankQueue.pop
-
-    def counted(self):
-        nonlocal pops
-        pops += 1
-        return pop(self)
-
-    monkeypatch.setattr(RankQueue, "pop", counted)
+    merges = 0
+    monkeypatch.setattr(bpe, "pops", 0)
     monkeypatch.setattr(bpe, "cache", {})
     for doc, text in texts.items():
         ids = reference.encode_ordinary(text)
         data = np.array(ids, "<u4").tobytes()
         assert got[doc] == (len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
         assert bpe.encode(text) == data
-    # each merge of a pre-token that is no token, and one last look at an empty queue, is a pop
+    # each merge of a pre-token that is no token is an entry of the queue
     for piece, packed in bpe.cache.items():
         data = piece.encode()
         if data not in bpe.ranks:
-            merges += len(data) - len(packed) // 4 + 1
-    assert merges > 0 and pops >= merges
+            merges += len(data) - len(packed) // 4
+    assert 0 < merges <= bpe.pops
 
 
 def test_frame_with_nulls_repeats_and_clashing_names(spark, bpe):
