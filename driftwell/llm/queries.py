@@ -106,4 +106,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
          AND coalesce(n_symbols / n_words <= 0.25, true) AND coalesce(n_stop_words / n_words >= 0.02, true)
          AND coalesce(n_dup_lines / n_lines <= 0.5, true) AND coalesce(n_bullet_lines / n_lines <= 0.9, true) AS kept
 FROM b""",
+    "op3_substrings": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT g, min(doc_id) AS low FROM g GROUP BY g),
+gone AS (SELECT DISTINCT g.doc_id, g.i + o.k AS at FROM g JOIN f ON g.g = f.g AND f.low < g.doc_id, range(0, 13) AS o(k)),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM d),
+k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.at) FILTER (WHERE gone.at IS NULL) AS t, count(gone.at) AS n FROM x LEFT JOIN gone ON x.doc_id = gone.doc_id AND x.at = gone.at GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+    "op6_embeddings": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+o AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM o a JOIN o b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+r AS (SELECT vec_id AS id, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(c) AS component_id FROM r GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.id AS vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, c.id = c.component_id AS kept FROM c LEFT JOIN n ON n.a = c.id""",
 }
