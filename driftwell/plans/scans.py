@@ -237,13 +237,18 @@ def avro_round_trip(spark, d) -> DataFrame:
     return envelopes.changes_of(envelopes.from_avro(data), customer.schema, F.lit(0)).select("after.*")
 
 
-_CONSTRAINTS = [("db", "a", "PRIMARY KEY", None, None), ("db", "b", "UNIQUE", None, None), ("db", "b", "FOREIGN KEY", "db", "a"), ("db", "c", "FOREIGN KEY", "other", "z"), ("db", "d", "FOREIGN KEY", "other", "z")]
+def precheck_tables(spark, d) -> DataFrame:
+    """A table for each nation: some with a primary key, some with a unique one, some with neither; foreign keys to tables of regions, one of which takes no part."""
+    nation = table(spark, d, "nation").select(F.lit("db").alias("schema"), F.col("n_name").alias("tb"), "n_nationkey", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("to"), "n_regionkey")
+    k, none = F.col("n_nationkey") % 3, F.lit(None).cast("string")
+    rule = lambda kind, schema, ref: F.struct(F.lit(kind).alias("kind"), schema.alias("ref_schema"), ref.alias("ref_tb"))
+    foreign = rule("FOREIGN KEY", F.when(F.col("n_regionkey") == 2, "other").otherwise("db"), F.col("to"))
+    keys = nation.select("schema", "tb", F.inline(F.array_compact(F.array(F.when(k == 0, rule("PRIMARY KEY", none, none)), F.when(k == 1, rule("UNIQUE", none, none)), foreign))))
+    return ddl.precheck(nation.select("schema", "tb"), keys, filters.TableFilter(do_schemas=frozenset({"db"})).table_kept)
 
 
-def precheck_tables(spark, d) -> DataFrame:
-    names = literal_rows(spark, [("db", t) for t in "abcd"], "schema string, tb string")
-    keys = literal_rows(spark, _CONSTRAINTS, "schema string, tb string, kind string, ref_schema string, ref_tb string")
-    return ddl.precheck(names, keys, filters.TableFilter(do_schemas=frozenset({"db"})).table_kept)
+_PRECHECK = """SELECT 'db.' || n_name AS item, 'warning' AS level FROM nation WHERE n_nationkey % 3 = 2
+UNION ALL SELECT DISTINCT 'other.r2', 'error' FROM nation WHERE n_regionkey = 2"""
 
 
 _LITERALS = T.StructType().add("id", "long").add("t", "string").add("f", "double").add("b", "binary").add("d", "date")
@@ -330,39 +335,51 @@ def bigkey_stats(spark, d) -> DataFrame:
     return keyvalue.large_or_hot(stats, 5000, 99)
 
 
-_OPLOG = [
-    (1, '{"diff":{"u":{"a":1},"i":{"b":"x"},"d":{"c":false},"sdeep":{"u":{"k":2},"sx":{"d":{"y":false}}},"a":true}}', '{"$set":{"b":"x","a":1,"deep.k":2},"$unset":{"c":false,"deep.x.y":false}}'),
-    (2, '{"$set":{"a":1},"$unset":{"b":true}}', '{"$set":{"a":1},"$unset":{"b":true}}'),
-    (3, '{"diff":{}}', None), (4, None, None), (5, "not json", None),
-]
-
-
 def document_updates(spark, d) -> DataFrame:
-    return documents.with_updates(literal_rows(spark, [(i, e) for i, e, _ in _OPLOG], "id long, entry string")).select("id", "update")
+    """Log entries made of events: nested differences, plain updates, entries that say nothing, and texts that are none."""
+    number, kind, k = F.col("user_id").cast("string"), F.col("event_type"), F.col("event_id")
+    diff = F.concat(F.lit('{"diff":{"u":{"a":'), number, F.lit('},"i":{"t":"'), kind, F.lit('"},"d":{"c":false},"sdeep":{"u":{"k":2},"sx":{"d":{"y":false}}},"a":true}}'))
+    entry = F.when(k % 5 == 0, diff).when(k % 5 == 1, F.concat(F.lit('{"$set":{"a":'), number, F.lit('},"$unset":{"b":true}}'))).when(k % 5 == 2, '{"diff":{}}').when(k % 5 == 3, "not json")
+    return documents.with_updates(table(spark, d, "events").select(k.alias("id"), entry.alias("entry"))).select("id", "update")
 
 
-_STATEMENTS = [
-    (1, "CREATE TABLE IF NOT EXISTS `db`.`a b` (id INT)", [("create_table", "db", "a b")]), (2, "drop table if exists x.y, z", [("drop_table", "x", "y"), ("drop_table", "", "z")]),
-    (3, "RENAME TABLE a.b TO a.c, d TO e", [("rename_table", "a", "b"), ("rename_table", "", "d")]), (4, "/* c */ alter /* d */ table t add column x int", [("alter_table", "", "t")]),
-    (5, "alter table t rename to u", [("rename_table", "", "t")]), (6, "create unique index i on s.t (a)", [("create_index", "s", "t")]), (7, "SELECT 1", []), (8, "truncate db.t", [("truncate_table", "db", "t")]),
-    (9, "create database if not exists d1", [("create_database", "d1", "")]), (10, "DROP INDEX i ON t", [("drop_index", "", "t")]),
-]
+_UPDATES = """SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN '{"$set":{"t":"' || event_type || '","a":' || CAST(user_id AS VARCHAR) || ',"deep.k":2},"$unset":{"c":false,"deep.x.y":false}}'
+  WHEN 1 THEN '{"$set":{"a":' || CAST(user_id AS VARCHAR) || '},"$unset":{"b":true}}' END AS update FROM events"""
 
 
 def ddl_statements(spark, d) -> DataFrame:
-    return ddl.with_ddl(literal_rows(spark, [(i, s) for i, s, _ in _STATEMENTS], "id long, sql string")).select("id", "ddl_kind", "ddl_schema", "ddl_table")
+    """Statements made of events' numbers: several tables in one, comments, quotes, and texts that are no statements."""
+    k, n = F.col("event_id"), F.col("user_id").cast("string")
+    made = [
+        F.concat(F.lit("CREATE TABLE IF NOT EXISTS `db"), n, F.lit("`.`a b` (id INT)")), F.concat(F.lit("drop table if exists x"), n, F.lit(".y, z")), F.concat(F.lit("RENAME TABLE a.b"), n, F.lit(" TO a.c, d TO e")),
+        F.concat(F.lit("/* c */ alter /* d */ table t"), n, F.lit(" add column x int")), F.lit("SELECT 1"), F.concat(F.lit("create unique index i on s.t"), n, F.lit(" (a)")), F.lit(None).cast("string"),
+        F.concat(F.lit("create database if not exists d"), n), F.concat(F.lit("truncate db.t"), n),
+    ]
+    rows = table(spark, d, "events").select(k.alias("id"), F.get(F.array(*made), (k % len(made)).cast("int")).alias("sql"))
+    return ddl.with_ddl(rows).select("id", "ddl_kind", "ddl_schema", "ddl_table")
+
+
+_STATED = """WITH e AS (SELECT event_id AS id, event_id % 9 AS k, CAST(user_id AS VARCHAR) AS n FROM events)
+SELECT id, 'create_table' AS ddl_kind, 'db' || n AS ddl_schema, 'a b' AS ddl_table FROM e WHERE k = 0 UNION ALL SELECT id, 'drop_table', 'x' || n, 'y' FROM e WHERE k = 1 UNION ALL SELECT id, 'drop_table', '', 'z' FROM e WHERE k = 1
+UNION ALL SELECT id, 'rename_table', 'a', 'b' || n FROM e WHERE k = 2 UNION ALL SELECT id, 'rename_table', '', 'd' FROM e WHERE k = 2 UNION ALL SELECT id, 'alter_table', '', 't' || n FROM e WHERE k = 3
+UNION ALL SELECT id, 'create_index', 's', 't' || n FROM e WHERE k = 5 UNION ALL SELECT id, 'create_database', 'd' || n, '' FROM e WHERE k = 7 UNION ALL SELECT id, 'truncate_table', 'db', 't' || n FROM e WHERE k = 8"""
 
 
 def value_texts(spark, d) -> DataFrame:
-    """Signed times, sets, enums and bytes of unknown charset as text."""
-    made = [(1, "-838:59:59.000001", 5, 2, b"ok"), (2, "10:00:00", 0, 0, b"\xff\x00"), (3, "bad", None, 9, None), (4, "25:01:02.5", 2, 1, "é".encode())]
-    rows_ = literal_rows(spark, made, "id long, t string, bits long, e long, raw binary")
+    """Signed times of many hours, sets, enums and bytes of unknown charset as text, made of events' numbers."""
+    k = F.col("event_id")
+    hours, part = k % 839, F.lpad((k % 60).cast("string"), 2, "0")
+    at = F.concat(F.when(k % 2 == 1, "-").otherwise(""), hours.cast("string"), F.lit(":"), part, F.lit(":"), part, F.when(k % 3 == 0, ".5").otherwise(""))
+    raw = F.when(k % 4 == 0, F.unhex(F.concat(F.lit("FF"), F.hex(F.col("event_type").cast("binary"))))).otherwise(F.col("event_type").cast("binary"))
     labels = ["a", "b", "c"]
+    rows_ = table(spark, d, "events").select(k.alias("id"), F.when(k % 7 == 0, "bad").otherwise(at).alias("t"), (k % 8).alias("bits"), (k % 6).alias("e"), raw.alias("raw"))
     return rows_.select("id", values.time_micros(F.col("t")).alias("micros"), values.set_labels(F.col("bits"), labels).alias("labels"), values.enum_label(F.col("e"), labels).alias("label"), values.text_or_hex(F.col("raw")).alias("raw_text"))
 
 
-_TEXTS = """SELECT CAST(id AS BIGINT) AS id, CAST(m AS BIGINT) AS micros, labels, label, r AS raw_text FROM (VALUES
-  (1, -3020399000001, 'a,c', 'b', 'ok'), (2, 36000000000, '', '', 'ff00'), (3, NULL, NULL, NULL, NULL), (4, 90062500000, 'b', 'a', 'é')) AS v(id, m, labels, label, r)"""
+_TEXTS = """SELECT event_id AS id,
+  CASE WHEN event_id % 7 <> 0 THEN CAST((CASE WHEN event_id % 2 = 1 THEN -1 ELSE 1 END) * (1000000 * (3600 * (event_id % 839) + 61 * (event_id % 60)) + CASE WHEN event_id % 3 = 0 THEN 500000 ELSE 0 END) AS BIGINT) END AS micros,
+  concat_ws(',', CASE WHEN event_id & 1 = 1 THEN 'a' END, CASE WHEN event_id & 2 = 2 THEN 'b' END, CASE WHEN event_id & 4 = 4 THEN 'c' END) AS labels,
+  CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'a' WHEN 2 THEN 'b' WHEN 3 THEN 'c' END AS label, CASE WHEN event_id % 4 = 0 THEN 'ff' || lower(hex(event_type)) ELSE event_type END AS raw_text FROM events"""
 
 QUERIES = {f.__name__: f for f in (
     snapshot_scan, split_even_chunks, split_uneven_chunks, chunk_row_counts, checkpoint_prefix, null_pass_union, sample_topn, keyset_page, filter_tables_pattern, route_columns, route_topics,
@@ -376,10 +393,9 @@ SQL = {
     "sample_topn": _TOPN, "keyset_page": _PAGE, "filter_tables_pattern": _PATTERN, "route_columns": _ROUTE, "route_topics": _TOPICS,
     "target_type_map": f"SELECT * FROM {sql_values(_EXPECTED, 'kind, clickhouse, starrocks, doris')}", "redis_hash_rows": _REDIS, "redis_slot": _SLOT, "redis_route": _NODE,
     "metrics_per_second": _SECOND, "metrics_rt": _STATS, "metrics_members": _MEMBERS, "progress": _PROGRESS, "row_sizes": _SIZES, "avro_envelope": _AVRO, "avro_round_trip": "SELECT * FROM customer",
-    "precheck_tables": "SELECT * FROM (VALUES ('db.c', 'warning'), ('db.d', 'warning'), ('other.z', 'error')) AS v(item, level)", "sql_literals": _LIT,
+    "precheck_tables": _PRECHECK, "sql_literals": _LIT,
     "sql_export_forward": _export_sql(_MORE, _DEL, _INS), "sql_export_reverse": _export_sql(_BAL, _INS, _DEL), "lua_like_transform": _LUA, "row_hook": _LUA,
     "bigkey_stats": "SELECT doc_id, n_chars AS size, doc_id % 100 AS freq FROM documents WHERE n_chars >= 5000 OR doc_id % 100 >= 99",
-    "document_updates": f"SELECT CAST(id AS BIGINT) AS id, u AS update FROM {sql_values([(i, u) for i, _, u in _OPLOG], 'id, u')}",
-    "ddl_statements": f"SELECT CAST(id AS BIGINT) AS id, ddl_kind, ddl_schema, ddl_table FROM {sql_values([(i, *x) for i, _, xs in _STATEMENTS for x in xs], 'id, ddl_kind, ddl_schema, ddl_table')}",
+    "document_updates": _UPDATES, "ddl_statements": _STATED,
     "value_texts": _TEXTS,
 }

@@ -285,6 +285,38 @@ class TestDdl:
         assert [(f.name, f.dataType.simpleString(), f.nullable) for f in out] == [("id", "decimal(20,0)", True), ("c", "decimal(10,2)", False), ("bb", "int", True)]
 
 
+OPLOG = [
+    (1, '{"diff":{"u":{"a":1},"i":{"b":"x"},"d":{"c":false},"sdeep":{"u":{"k":2},"sx":{"d":{"y":false}}},"a":true}}', '{"$set":{"b":"x","a":1,"deep.k":2},"$unset":{"c":false,"deep.x.y":false}}'),
+    (2, '{"$set":{"a":1},"$unset":{"b":true}}', '{"$set":{"a":1},"$unset":{"b":true}}'),
+    (3, '{"diff":{}}', None), (4, None, None), (5, "not json", None),
+]
+
+STATEMENTS = [
+    (1, "CREATE TABLE IF NOT EXISTS `db`.`a b` (id INT)", [("create_table", "db", "a b")]), (2, "drop table if exists x.y, z", [("drop_table", "x", "y"), ("drop_table", "", "z")]),
+    (3, "RENAME TABLE a.b TO a.c, d TO e", [("rename_table", "a", "b"), ("rename_table", "", "d")]), (4, "/* c */ alter /* d */ table t add column x int", [("alter_table", "", "t")]),
+    (5, "alter table t rename to u", [("rename_table", "", "t")]), (6, "create unique index i on s.t (a)", [("create_index", "s", "t")]), (7, "SELECT 1", []), (8, "truncate db.t", [("truncate_table", "db", "t")]),
+    (9, "create database if not exists d1", [("create_database", "d1", "")]), (10, "DROP INDEX i ON t", [("drop_index", "", "t")]),
+]
+
+
+class TestTextsOfLogs:
+    def test_updates(self, spark):
+        rows = spark.createDataFrame([(i, e) for i, e, _ in OPLOG], "id long, entry string")
+        assert [r.update for r in documents.with_updates(rows).orderBy("id").collect()] == [u for _, _, u in OPLOG]
+
+    def test_statements(self, spark):
+        rows = spark.createDataFrame([(i, s) for i, s, _ in STATEMENTS], "id long, sql string")
+        found = got(ddl.with_ddl(rows).select("id", "ddl_kind", "ddl_schema", "ddl_table"))
+        assert found == sorted(((i, *x) for i, _, xs in STATEMENTS for x in xs), key=repr)
+
+    def test_values(self, spark):
+        made = [(1, "-838:59:59.000001", 5, 2, bytearray(b"ok")), (2, "10:00:00", 0, 0, bytearray(b"\xff\x00")), (3, "bad", None, 9, None), (4, "25:01:02.5", 2, 1, bytearray("é".encode()))]
+        df = spark.createDataFrame(made, "id long, t string, bits long, e long, raw binary")
+        labels = ["a", "b", "c"]
+        out = df.orderBy("id").select(values.time_micros(F.col("t")), values.set_labels(F.col("bits"), labels), values.enum_label(F.col("e"), labels), values.text_or_hex(F.col("raw"))).collect()
+        assert [tuple(r) for r in out] == [(-3020399000001, "a,c", "b", "ok"), (36000000000, "", "", "ff00"), (None, None, None, None), (90062500000, "b", "a", "é")]
+
+
 class TestRows:
     def test_hook_restores_what_it_cannot_see(self, spark):
         schema = "op string, seq long, before struct<k:long,b:binary>, after struct<k:long,b:binary>"
