@@ -390,6 +390,33 @@ def partition_auto_split(spark, d) -> DataFrame:
     return spark.createDataFrame(rows, "strategy string, place long, tb string, chunk long, start_row long, end_row long")
 
 
+#: Chunks of 1000 events by type; plans for 8 workers, parts of 50 rows at least.
+_PLANS = """WITH RECURSIVE g AS (SELECT event_type AS tb, event_id // 1000 AS chunk, count(*) AS r FROM events GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (ORDER BY tb, chunk) AS i FROM g),
+tot AS (SELECT sum(r) AS total, greatest(8, least(greatest(1, sum(r) // 50), 32)) AS most, greatest(sum(r) // 8, 50) AS fair FROM g),
+h AS (SELECT list({'tb': tb, 'chunk': chunk, 's': CAST(0 AS BIGINT), 'e': CAST(r AS BIGINT)} ORDER BY i) AS l, false AS done FROM o
+  UNION ALL SELECT CASE WHEN stop THEN l ELSE list_concat(list_concat(l[1:k - 1], [{'tb': p.tb, 'chunk': p.chunk, 's': p.s, 'e': p.s + lft}]), list_concat(l[k + 1:], [{'tb': p.tb, 'chunk': p.chunk, 's': p.s + lft, 'e': p.e}])) END, stop
+  FROM (SELECT *, CAST(CASE WHEN half % 50 <= 25 AND half - half % 50 >= 50 AND half - half % 50 <= m - 50 OR half - half % 50 + 50 > m - 50 THEN half - half % 50 ELSE half - half % 50 + 50 END AS BIGINT) AS lft
+    FROM (SELECT *, l[k] AS p, (m + 1) // 2 AS half, len(l) >= most OR m < 100 OR (len(l) >= 8 AND m <= fair * 2) AS stop
+      FROM (SELECT *, len(l) + 1 - list_position(list_reverse(list_transform(l, lambda x: x.e - x.s)), m) AS k
+        FROM (SELECT l, total, most, fair, list_max(list_transform(l, lambda x: x.e - x.s)) AS m FROM h, tot WHERE NOT done))))),
+f AS (SELECT unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM h WHERE done),
+n AS (SELECT *, CASE WHEN lag(chunk) OVER (PARTITION BY tb ORDER BY chunk) >= chunk - 1 THEN 0 ELSE 1 END AS fresh FROM g),
+q AS (SELECT *, sum(fresh) OVER (PARTITION BY tb ORDER BY chunk) AS run FROM n),
+t AS (SELECT tb, min(chunk) AS chunk, CAST(sum(r) AS BIGINT) AS r FROM q GROUP BY tb, run),
+c AS (SELECT tb, chunk, r, CAST(0 AS BIGINT) AS part, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b FROM t WHERE r >= 400
+  UNION ALL SELECT tb, chunk, r, part + 1, b, CAST(CASE WHEN part = 7 THEN r ELSE b + CASE
+      WHEN share - share % 50 >= 1 AND share - share % 50 <= hi AND (share % 50 <= 25 OR share - share % 50 + 50 > hi) THEN share - share % 50
+      WHEN share - share % 50 + 50 <= hi THEN share - share % 50 + 50 ELSE greatest(1, least(share, hi)) END END AS BIGINT)
+    FROM (SELECT *, CAST(ceil((r - b) / (8 - part)) AS BIGINT) AS share, r - b - (7 - part) AS hi FROM c WHERE part < 8)),
+e AS (SELECT tb, chunk, r, part, a, b FROM c WHERE part > 0 UNION ALL SELECT tb, chunk, r, 1, 0, r FROM t WHERE r < 400),
+m AS (SELECT tb, chunk, unnest(range(0, r, 50)) AS a, r FROM t)
+SELECT 'none' AS strategy, i - 1 AS place, tb, chunk, CAST(0 AS BIGINT) AS start_row, r AS end_row FROM o
+UNION ALL SELECT 'chunk_largest_first', row_number() OVER (ORDER BY r DESC, i) - 1, tb, chunk, 0, r FROM o
+UNION ALL SELECT 'auto_split', row_number() OVER (ORDER BY x.e - x.s DESC, i) - 1, x.tb, x.chunk, x.s, x.e FROM f
+UNION ALL SELECT 'table_min_rows', row_number() OVER (ORDER BY tb, chunk, a) - 1, tb, chunk, a, least(a + 50, r) FROM m
+UNION ALL SELECT 'table_even', row_number() OVER (ORDER BY r DESC, tb, chunk, part) - 1, tb, chunk, a, b FROM e"""
+
 _SNAP = CUSTOMER_AFTER
 QUERIES = {f.__name__: f for f in (
     merge_lww_events, merge_net_ops, merge_key_change, merge_unmerged_flag, merge_documents, merge_toast_fill, apply_replace, apply_update_only, apply_soft_delete_latest, apply_hard_delete,
@@ -402,5 +429,5 @@ SQL = {
     "apply_replace_multi_unique": NAMES_TAKEN, "load_rows": _LOAD, "inline_check": _INLINE, "apply_insert_or_update_values": _VALUES, "apply_bag_delete_one": _BAG_DELETE, "apply_bag_update_one": _BAG_UPDATE, "snapshot_plus_cdc": _SNAP,
     "undo_log": _UNDO, "split_updates": _SPLIT, "before_from_key": _BEFORE, "drain_segments": _DRAIN, "replay_runs": _RUNS, "loop_filter": _LOOP, "filter_events_time": _TIME,
     "last_positions": "SELECT event_type, 'binlog.1:' || CAST(max(event_id) AS VARCHAR) AS position, max(event_id) AS seq FROM events GROUP BY event_type",
-    "apply_bag_stream": _BAG_STREAM, "apply_null_key": _NULL_KEY, "apply_unsent_columns": _UNSENT, "partition_hash_counts": _HASH, "partition_table_even": _EVEN,
+    "apply_bag_stream": _BAG_STREAM, "apply_null_key": _NULL_KEY, "apply_unsent_columns": _UNSENT, "partition_auto_split": _PLANS, "partition_hash_counts": _HASH, "partition_table_even": _EVEN,
 }

@@ -11,7 +11,7 @@ from driftwell import catalogue
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ROWS_ONLY = {"partition_auto_split"}
+ROWS_ONLY = set()
 
 
 @pytest.fixture(scope="session")
