@@ -327,6 +327,25 @@ def row_hook(spark, d) -> DataFrame:
     return rows.transform_rows(changes.snapshot_changes(orders), hook, "main", "orders", target).select("after.*")
 
 
+def batch_hook(spark, d) -> DataFrame:
+    """The same through user code on whole batches."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    target = T.StructType().add("o_orderkey", "long").add("o_custkey", "long").add("o_totalprice", "double").add("o_orderpriority", "string").add("added", "integer").add("status", "string")
+
+    def hook(batch: pa.RecordBatch) -> pa.RecordBatch:
+        after = batch.column("after")
+        old = dict(zip([f.name for f in after.type], after.flatten(), strict=True))
+        priority = pc.utf8_upper(pc.utf8_slice_codeunits(old["o_orderpriority"], 2))
+        names = target.names
+        new = pa.StructArray.from_arrays([old["o_orderkey"], old["o_custkey"], old["o_totalprice"], priority, pa.repeat(pa.scalar(1000, pa.int32()), len(after)), old["o_orderstatus"]], names)
+        out = pa.RecordBatch.from_arrays([batch.column("op"), batch.column("seq"), pa.nulls(len(after), new.type), new], names=["op", "seq", "before", "after"])
+        return out.filter(pc.greater_equal(old["o_totalprice"], 200_000))
+
+    return rows.transform_batches(changes.snapshot_changes(table(spark, d, "orders")), hook, target).select("after.*")
+
+
 _LUA = """SELECT o_orderkey, o_custkey, o_totalprice, upper(substr(o_orderpriority, 3, 20)) AS o_orderpriority, 1000 AS added, o_orderstatus AS status FROM orders WHERE o_totalprice >= 200000"""
 
 
@@ -384,7 +403,7 @@ _TEXTS = """SELECT event_id AS id,
 QUERIES = {f.__name__: f for f in (
     snapshot_scan, split_even_chunks, split_uneven_chunks, chunk_row_counts, checkpoint_prefix, null_pass_union, sample_topn, keyset_page, filter_tables_pattern, route_columns, route_topics,
     target_type_map, redis_hash_rows, redis_slot, redis_route, metrics_per_second, metrics_rt, metrics_members, progress, row_sizes, avro_envelope, avro_round_trip, precheck_tables, sql_literals,
-    sql_export_forward, sql_export_reverse, lua_like_transform, row_hook, bigkey_stats, document_updates, ddl_statements, value_texts,
+    sql_export_forward, sql_export_reverse, lua_like_transform, row_hook, batch_hook, bigkey_stats, document_updates, ddl_statements, value_texts,
 )}
 SQL = {
     "snapshot_scan": "SELECT o_orderkey AS order_id, o_custkey, o_orderstatus, o_totalprice AS price FROM orders WHERE o_totalprice > 250000 AND o_orderstatus = 'F'",
@@ -394,7 +413,7 @@ SQL = {
     "target_type_map": f"SELECT * FROM {sql_values(_EXPECTED, 'kind, clickhouse, starrocks, doris')}", "redis_hash_rows": _REDIS, "redis_slot": _SLOT, "redis_route": _NODE,
     "metrics_per_second": _SECOND, "metrics_rt": _STATS, "metrics_members": _MEMBERS, "progress": _PROGRESS, "row_sizes": _SIZES, "avro_envelope": _AVRO, "avro_round_trip": "SELECT * FROM customer",
     "precheck_tables": _PRECHECK, "sql_literals": _LIT,
-    "sql_export_forward": _export_sql(_MORE, _DEL, _INS), "sql_export_reverse": _export_sql(_BAL, _INS, _DEL), "lua_like_transform": _LUA, "row_hook": _LUA,
+    "sql_export_forward": _export_sql(_MORE, _DEL, _INS), "sql_export_reverse": _export_sql(_BAL, _INS, _DEL), "lua_like_transform": _LUA, "row_hook": _LUA, "batch_hook": _LUA,
     "bigkey_stats": "SELECT doc_id, n_chars AS size, doc_id % 100 AS freq FROM documents WHERE n_chars >= 5000 OR doc_id % 100 >= 99",
     "document_updates": _UPDATES, "ddl_statements": _STATED,
     "value_texts": _TEXTS,
