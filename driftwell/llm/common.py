@@ -45,12 +45,12 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
 
     The tables stay there, as later actions on a result read them; the folder is the session's to clear, like that of any checkpoint.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     at = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    back = spark.read.schema(df.schema).parquet(at)
+    del df  # the last reference, if the caller keeps none: its shuffle files can go
     release(spark)
-    return back
+    return spark.read.schema(schema).parquet(at)
 
 
 def release(spark: SparkSession) -> None:

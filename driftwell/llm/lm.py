@@ -182,8 +182,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
         """Of the whole words: how many there are in training, and how many tokens."""
         return (int((values > 0).sum()), int(values.sum())) if kind == 0 else (0, 0)
 
-    one = exchange.answered(chunks.mapInArrow(counted, "range long, member long, data binary"), COUNTS, plan, "v long, tokens long", words)
-    one = stash(one, "counts")
+    row = "range long, member long, data binary"
+    one = stash(exchange.answered(chunks.mapInArrow(counted, row), COUNTS, plan, "v long, tokens long", words), "counts")
     size = one.agg(F.sum("v"), F.sum("tokens")).first()
     v, tokens = size[0] or 0, size[1] or 0
 
