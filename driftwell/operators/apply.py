@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import text_or_hex
+from ..functions.values import bit_text, text_or_hex
 from ..meta import TableMeta
 from . import replay
 from .changes import fill_unchanged, sends_all
@@ -145,11 +145,11 @@ def append_audited(changes: DataFrame, meta: TableMeta, soft: bool = True) -> Da
     return out if soft else out.filter(F.col(DELETED) == 0)
 
 
-def load_rows(changes: DataFrame, meta: TableMeta, hard_delete: bool = False, json_columns: Sequence[str] = ()) -> DataFrame:
+def load_rows(changes: DataFrame, meta: TableMeta, hard_delete: bool = False, json_columns: Sequence[str] = (), bit_columns: Sequence[str] = ()) -> DataFrame:
     """The net effect of a batch as JSON rows for bulk loading: (``row``, ``seq``).
 
     Soft: the audit columns mark deletes.  Hard: ``__op`` is upsert or delete, and a delete carries the key only.  Texts in ``json_columns``
-    become nested values (null if they are no JSON); bytes become text or hex.
+    become nested values (null if they are no JSON); bit fields in ``bit_columns`` become numbers, other bytes text or hex.
     """
     net = compact(changes, meta)
     kinds = {f.name: f.dataType for f in changes.schema["after"].dataType}
@@ -158,6 +158,8 @@ def load_rows(changes: DataFrame, meta: TableMeta, hard_delete: bool = False, js
         x = F.coalesce(F.col("after")[c], F.col(c)) if c in meta.id_cols else F.col("after")[c]
         if c in json_columns:
             return F.try_parse_json(x).alias(c)
+        if c in bit_columns:
+            return (bit_text(x) if kinds[c].typeName() == "binary" else x.cast("decimal(20,0)")).alias(c)
         return (text_or_hex(x) if kinds[c].typeName() == "binary" else x).alias(c)
 
     mark = [F.col("op").alias("__op")] if hard_delete else [(F.col("op") == "delete").cast("int").alias(DELETED), F.col("seq").alias(STAMP)]

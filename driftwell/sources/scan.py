@@ -64,6 +64,15 @@ def key_statistics(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(key).alias("rows"))
 
 
+def estimated_rows(df: DataFrame, row_bytes: int = 64) -> int:
+    """Rows by what Spark knows of the plan without running it: catalogue or file statistics, else bytes over ``row_bytes``."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    rows = stats.rowCount()
+    if rows.isDefined():
+        return int(rows.get().toString())
+    return max(1, int(stats.sizeInBytes().toString()) // row_bytes)
+
+
 def uneven_chunks(df: DataFrame, key: str, batch: int) -> DataFrame:
     """One row per chunk of ``batch`` rows in the key's order: number, low, high (open below, closed above), rows.
 

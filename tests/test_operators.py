@@ -158,6 +158,11 @@ class TestApply:
         assert got(apply.delete_rows(target, gone, bag)) == sorted([(1, "a"), (1, None)], key=repr)
         assert got(apply.bag_delete(target, gone, ["k"])) == [(1, "a"), (1, "a")]
 
+    def test_bit_fields_become_numbers(self, spark):
+        df = spark.createDataFrame([("insert", 1, None, (1, bytearray(b"\x01\x00")))], "op string, seq long, before struct<k:long,b:binary>, after struct<k:long,b:binary>")
+        row = apply.load_rows(df, TableMeta("s", "t", ("k", "b"), ("k",)), bit_columns=["b"]).first()
+        assert row.row == '{"k":1,"b":256,"_is_deleted":0,"_sync_ts":1}'
+
     def test_null_safe_delete(self, spark):
         meta = TableMeta("s", "t", ("k", "v"), unique=(("k",),), nullable=frozenset("k"))
         target = spark.createDataFrame([(1, "a"), (None, "b")], "k long, v string")
@@ -228,6 +233,10 @@ class TestScan:
             joined = got(scan.with_uneven_chunk(df, "k", 4).groupBy("chunk").count())
             assert joined == got(scan.with_chunk(df, "k", cuts).groupBy("chunk").count()) and (None, 2) in joined
 
+    def test_estimates_need_no_job(self, spark):
+        assert scan.estimated_rows(spark.range(1234)) == 1234
+        assert 100 < scan.estimated_rows(spark.read.parquet("/root/testdata/sf0.01/orders.parquet")) < 10_000_000
+
     def test_keyset(self, spark):
         df = spark.createDataFrame([(1, 9), (2, 1), (2, 2), (3, 0), (None, 5)], "a int, b int")
         assert got(df.filter(scan.keyset(["a", "b"], [2, 1]))) == [(2, 2), (3, 0)]
