@@ -186,6 +186,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     one = stash(exchange.answered(chunks.mapInArrow(counted, row), COUNTS, plan, "v long, tokens long", words), "counts")
     size = one.agg(F.sum("v"), F.sum("tokens")).first()
     v, tokens = size[0] or 0, size[1] or 0
+    release(docs.sparkSession)  # the shuffle files of the counts, before the next pass writes its own
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each chunk's rows without their texts, its documents' lengths and its tokens' totals by order."""

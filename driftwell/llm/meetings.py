@@ -50,11 +50,11 @@ def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         yield edges, [c.to_numpy() for c in table.columns]
 
 
-def across(keys: np.ndarray, classes: np.ndarray, values: list[np.ndarray], may_link: Callable, meetings: Callable[[int], Iterable[tuple[int, int]]], here: int, part: int = PART) -> Iterator[tuple[int, int, list[int], list[list[int]]]]:
+def across(keys: np.ndarray, classes: np.ndarray, values: list[np.ndarray], may_link: Callable, meetings: Callable[[int], Iterable[int]], here: int, part: int = PART) -> Iterator[tuple[int, int, list[int], list[list[int]]]]:
     """(block, block, keys, partners of each) of one place's pairs of different classes that ``may_link``.
 
-    ``may_link(values, p, q)``: a matrix for two slices of the members.  ``meetings`` gives (load, name) of the places of a member, the most
-    frequented first; ``here`` names this one, and pairs that meet in an earlier one of both lists are left to that.
+    ``may_link(values, p, q)``: a matrix for two slices of the members.  ``meetings`` gives the names of the places of a member, the most
+    frequented first; ``here`` is this one, and pairs that meet in an earlier one of both lists are left to that.
     """
     keys, at = np.unique(keys, return_index=True)
     classes, values = classes[at], [v[at] for v in values]
@@ -71,13 +71,13 @@ def across(keys: np.ndarray, classes: np.ndarray, values: list[np.ndarray], may_
     if not found:
         return
     # the meetings before this one, numbered; a pair that shares one of them is not ours
-    names: dict[tuple[int, int], int] = {}
+    names: dict[int, int] = {}
     involved = np.unique(np.concatenate([x for f in found for x in f[2:]]))
     before = []
     for k in involved:
         mine = []
         for m in meetings(int(at[k])):
-            if m[1] == here:
+            if m == here:
                 break
             mine.append(names.setdefault(m, len(names)))
         before.append(mine)
@@ -103,7 +103,8 @@ def partners(rows: DataFrame, columns: Sequence[str], may_link: Callable, part:
     A key's list of places is as long as its number of places, which the caller bounds.
     """
     part = PART if part is None else part
-    met = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct((-F.col("load")).alias("load"), "x"))).alias("met"))
+    places = F.sort_array(F.collect_list(F.struct((-F.col("load")).alias("load"), "x")))
+    met = rows.groupBy("key").agg(F.transform(places, lambda m: m["x"]).alias("met"))
     wide = rows.join(stash(met, "meetings").hint("merge"), "key").select("x", "key", "class", "met", *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +112,9 @@ def partners(rows: DataFrame, columns: Sequence[str], may_link: Callable, part:
             x, key, of = (table.column(c).to_numpy() for c in range(3))
             values = [table.column(c).to_numpy() for c in range(4, table.num_columns)]
             all_met = table.column(3).combine_chunks()
-            starts, entries = all_met.offsets.to_numpy(), all_met.values
-            loads, places = (entries.field(c).to_numpy() for c in ("load", "x"))
+            starts, names = all_met.offsets.to_numpy(), all_met.values.to_numpy()
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                met = lambda k, lo=lo: zip(*(c[starts[lo + k] : starts[lo + k + 1]].tolist() for c in (loads, places)), strict=True)
+                met = lambda k, lo=lo: names[starts[lo + k] : starts[lo + k + 1]].tolist()
                 for i, j, keys, lists in across(key[lo:hi], of[lo:hi], [v[lo:hi] for v in values], may_link, met, int(x[lo]), part):
                     group = np.uint64(xxhash.xxh64_intdigest(np.array([x[lo], i, j], np.int64).tobytes())).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([group] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["g", "key", "partners"])
