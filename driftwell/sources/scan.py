@@ -69,8 +69,8 @@ def estimated_rows(df: DataFrame, row_bytes: int = 64) -> int:
     stats = df._jdf.queryExecution().optimizedPlan().stats()
     rows = stats.rowCount()
     if rows.isDefined():
-        return int(rows.get().toString())
-    return max(1, int(stats.sizeInBytes().toString()) // row_bytes)
+        return int(str(rows.get()))
+    return max(1, int(str(stats.sizeInBytes())) // row_bytes)
 
 
 def uneven_chunks(df: DataFrame, key: str, batch: int) -> DataFrame:
