@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .routing import Router
+
 
 def _compact(value) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
@@ -115,6 +117,27 @@ def apply_documents(target: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.unionByName(plain.filter("doc IS NOT NULL")).unionByName(changed)
 
 
+#: Operations of a document store's change events that define structures, and what they are called here.
+STRUCTURE_EVENTS = {
+    "create": "create_collection", "drop": "drop_collection", "rename": "rename_collection", "dropDatabase": "drop_database", "createIndexes": "create_indexes",
+    "dropIndexes": "drop_indexes", "modify": "modify_collection", "shardCollection": "shard_collection",
+}
+
+
+def structure_events(events: DataFrame, event: str = "event", route: Router | None = None) -> DataFrame:
+    """The change events (JSON texts) that define structures, with ``ddl_kind``, ``db``, ``coll``, ``to_db``, ``to_coll`` (of a renaming) and ``detail`` (JSON).
+
+    ``route`` gives the target's names of both; other events are left out.
+    """
+    get = lambda path: F.get_json_object(event, path)
+    names = F.create_map(*[F.lit(x) for pair in sorted(STRUCTURE_EVENTS.items()) for x in pair])
+    found = events.withColumn("ddl_kind", F.try_element_at(names, get("$.operationType"))).filter("ddl_kind IS NOT NULL")
+    place = lambda path: F.struct(get(f"{path}.db").alias("schema"), get(f"{path}.coll").alias("table"))
+    routed = lambda x: F.when(x["schema"].isNotNull(), route.routed_names(x["schema"], x["table"])) if route else x
+    own, to = routed(place("$.ns")), routed(place("$.to"))
+    return found.withColumns({"db": own["schema"], "coll": own["table"], "to_db": to["schema"], "to_coll": to["table"], "detail": get("$.operationDescription")})
+
+
 def with_updates(entries: DataFrame, entry: str = "entry", full: str | None = None) -> DataFrame:
     """``update`` (JSON text, null where there is nothing to do or the entry is no object); nesting has no bound, so batches go through Python.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..operators import changes, check, ddl, documents, envelopes, filters, keyvalue, partition
+from ..operators.routing import Router
 from ..sources import kafka
 from ..streaming import unresolved
 from .fixtures import ORDERS_TARGET, customer_changes, meta_of, orders_target, table
@@ -132,6 +133,25 @@ FROM orders s FULL JOIN dst t ON s.o_orderkey = t.o_orderkey
 WHERE coalesce(s.o_orderkey, t.o_orderkey) % 2 = 1 AND (t.o_orderkey IS NULL OR s.o_orderkey IS NULL OR t.o_orderstatus <> s.o_orderstatus OR t.o_totalprice <> s.o_totalprice)"""
 
 
+def structure_events(spark, d) -> DataFrame:
+    """Change events that define collections, made of events' numbers, under the target's names."""
+    k, n = F.col("event_id"), F.col("user_id").cast("string")
+    head = lambda op: F.concat(F.lit(f'{{"operationType":"{op}","ns":{{"db":"a","coll":"c'), n, F.lit('"}'))
+    made = [
+        F.concat(head("create"), F.lit("}")), F.concat(head("rename"), F.lit(',"to":{"db":"b","coll":"d'), n, F.lit('"}}')), F.concat(head("insert"), F.lit(',"fullDocument":{}}')),
+        F.concat(head("createIndexes"), F.lit(',"operationDescription":{"indexes":['), n, F.lit("]}}")), F.lit('{"operationType":"dropDatabase","ns":{"db":"a"}}'), F.lit("no json"),
+    ]
+    rows = table(spark, d, "events").select(k.alias("id"), F.get(F.array(*made), (k % len(made)).cast("int")).alias("event"))
+    out = documents.structure_events(rows, route=Router({"a": "x"}, {("b", "d1"): ("y", "e")}))
+    return out.select("id", "ddl_kind", "db", "coll", "to_db", "to_coll", "detail")
+
+
+_STRUCTURES = """WITH e AS (SELECT event_id AS id, event_id % 6 AS k, CAST(user_id AS VARCHAR) AS n FROM events)
+SELECT id, CASE k WHEN 0 THEN 'create_collection' WHEN 1 THEN 'rename_collection' WHEN 3 THEN 'create_indexes' ELSE 'drop_database' END AS ddl_kind, 'x' AS db, CASE WHEN k <> 4 THEN 'c' || n END AS coll,
+  CASE WHEN k = 1 THEN CASE n WHEN '1' THEN 'y' ELSE 'b' END END AS to_db, CASE WHEN k = 1 THEN CASE n WHEN '1' THEN 'e' ELSE 'd' || n END END AS to_coll,
+  CASE WHEN k = 3 THEN '{"indexes":[' || n || ']}' END AS detail FROM e WHERE k NOT IN (2, 5)"""
+
+
 def tables_together(spark, d) -> DataFrame:
     """Rows dealt out by table: each table's rows are in one partition."""
     rows = table(spark, d, "events").select(F.lit("s").alias("schema"), F.col("event_type").alias("tb"))
@@ -141,9 +161,9 @@ def tables_together(spark, d) -> DataFrame:
 _TOGETHER = "SELECT event_type AS tb, CAST(1 AS BIGINT) AS partitions, count(*) AS n FROM events GROUP BY 1"
 
 QUERIES = {f.__name__: f for f in (
-    documents_applied, queue_round_trip, database_route, check_retries, statements_kept, statements_by_trigger, schema_history, values_for_targets, restart_recheck, tables_together,
+    documents_applied, queue_round_trip, database_route, check_retries, statements_kept, statements_by_trigger, schema_history, values_for_targets, restart_recheck, structure_events, tables_together,
 )}
 SQL = {
     "documents_applied": _DOCUMENTS, "queue_round_trip": _QUEUE, "database_route": _DB, "check_retries": _RETRIES, "statements_kept": _KEPT, "statements_by_trigger": _TRIGGER,
-    "schema_history": _HISTORY, "values_for_targets": _VALUES, "restart_recheck": _RESTART, "tables_together": _TOGETHER,
+    "schema_history": _HISTORY, "values_for_targets": _VALUES, "restart_recheck": _RESTART, "structure_events": _STRUCTURES, "tables_together": _TOGETHER,
 }
