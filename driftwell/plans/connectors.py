@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import values
 from ..operators import changes, check, ddl, documents, envelopes, filters, keyvalue, partition
 from ..operators.routing import Router
-from ..sources import kafka
+from ..sources import kafka, structures
 from ..streaming import unresolved
 from .fixtures import ORDERS_TARGET, customer_changes, meta_of, orders_target, table
 
@@ -152,6 +152,33 @@ SELECT id, CASE k WHEN 0 THEN 'create_collection' WHEN 1 THEN 'rename_collection
   CASE WHEN k = 3 THEN '{"indexes":[' || n || ']}' END AS detail FROM e WHERE k NOT IN (2, 5)"""
 
 
+def catalogue_structures(spark, d) -> DataFrame:
+    """A catalogue with a table for each nation, some with keys, references and indexes, under other schemas, tables and columns."""
+    nation = table(spark, d, "nation").select("n_nationkey", F.lit("a").alias("schema"), F.col("n_name").alias("tb"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("ref"))
+    one = lambda name, place, kind, nullable, default: F.struct(F.lit(name).alias("name"), F.lit(place).alias("place"), F.lit(kind).alias("type"), F.lit(nullable).alias("nullable"), default.alias("default"))
+    none = F.lit(None).cast("string")
+    columns = nation.select("schema", "tb", F.inline(F.array(one("id", 2, "int", False, none), one("name", 1, "varchar(9)", True, F.concat(F.lit("'"), F.col("tb"), F.lit("'"))))))
+    rule = lambda name, kind, cols, ref, to, cond: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), cols.alias("columns"), F.when(ref.isNotNull(), "a").alias("ref_schema"), ref.alias("ref_tb"), to.alias("ref_columns"), cond.alias("condition"))
+    ids, no_list, k = F.array(F.lit("id")), F.lit(None).cast("array<string>"), F.col("n_nationkey")
+    made = [
+        F.when(k % 2 == 0, rule("pk", "PRIMARY KEY", ids, none, no_list, none)), F.when(k % 3 == 0, rule("fk", "FOREIGN KEY", F.array(F.lit("name")), F.col("ref"), ids, none)),
+        F.when(k % 5 == 0, rule("c", "CHECK", no_list, none, no_list, F.lit("id > 0"))),
+    ]
+    constraints = nation.select("schema", "tb", F.inline(F.array_compact(F.array(*made))))
+    indexes = nation.filter("n_nationkey % 4 = 1").select("schema", "tb", F.lit("i").alias("name"), F.array(F.lit("name"), F.lit("id")).alias("columns"), (F.col("n_nationkey") % 8 == 1).alias("is_unique"))
+    route = Router({"a": "b"}, {("a", "r1"): ("c", "one")}, {("a", "r1"): {"id": "key"}})
+    out = structures.routed({"columns": columns, "constraints": constraints, "indexes": indexes}, route)
+    return structures.catalogue(out["columns"], out["constraints"], out["indexes"], "pg").select("kind", "key", "ddl")
+
+
+_CATALOGUE = """SELECT 'table' AS kind, 'table.b.' || n_name AS key, 'CREATE TABLE IF NOT EXISTS "b"."' || n_name || '" ("name" varchar(9) DEFAULT ' || chr(39) || n_name || chr(39) || ', "id" int NOT NULL)' AS ddl FROM nation
+UNION ALL SELECT 'constraint', 'constraint.b.' || n_name || '.pk', 'ALTER TABLE "b"."' || n_name || '" ADD CONSTRAINT "pk" PRIMARY KEY ("id")' FROM nation WHERE n_nationkey % 2 = 0
+UNION ALL SELECT 'constraint', 'constraint.b.' || n_name || '.fk', 'ALTER TABLE "b"."' || n_name || '" ADD CONSTRAINT "fk" FOREIGN KEY ("name") REFERENCES ' ||
+  CASE n_regionkey WHEN 1 THEN '"c"."one" ("key")' ELSE '"b"."r' || CAST(n_regionkey AS VARCHAR) || '" ("id")' END FROM nation WHERE n_nationkey % 3 = 0
+UNION ALL SELECT 'constraint', 'constraint.b.' || n_name || '.c', 'ALTER TABLE "b"."' || n_name || '" ADD CONSTRAINT "c" CHECK (id > 0)' FROM nation WHERE n_nationkey % 5 = 0
+UNION ALL SELECT 'index', 'index.b.' || n_name || '.i', 'CREATE ' || CASE WHEN n_nationkey % 8 = 1 THEN 'UNIQUE ' ELSE '' END || 'INDEX "i" ON "b"."' || n_name || '" ("name", "id")' FROM nation WHERE n_nationkey % 4 = 1"""
+
+
 def tables_together(spark, d) -> DataFrame:
     """Rows dealt out by table: each table's rows are in one partition."""
     rows = table(spark, d, "events").select(F.lit("s").alias("schema"), F.col("event_type").alias("tb"))
@@ -161,9 +188,9 @@ def tables_together(spark, d) -> DataFrame:
 _TOGETHER = "SELECT event_type AS tb, CAST(1 AS BIGINT) AS partitions, count(*) AS n FROM events GROUP BY 1"
 
 QUERIES = {f.__name__: f for f in (
-    documents_applied, queue_round_trip, database_route, check_retries, statements_kept, statements_by_trigger, schema_history, values_for_targets, restart_recheck, structure_events, tables_together,
+    documents_applied, queue_round_trip, database_route, check_retries, statements_kept, statements_by_trigger, schema_history, values_for_targets, restart_recheck, structure_events, catalogue_structures, tables_together,
 )}
 SQL = {
     "documents_applied": _DOCUMENTS, "queue_round_trip": _QUEUE, "database_route": _DB, "check_retries": _RETRIES, "statements_kept": _KEPT, "statements_by_trigger": _TRIGGER,
-    "schema_history": _HISTORY, "values_for_targets": _VALUES, "restart_recheck": _RESTART, "structure_events": _STRUCTURES, "tables_together": _TOGETHER,
+    "schema_history": _HISTORY, "values_for_targets": _VALUES, "restart_recheck": _RESTART, "structure_events": _STRUCTURES, "catalogue_structures": _CATALOGUE, "tables_together": _TOGETHER,
 }
