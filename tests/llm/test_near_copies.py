@@ -110,3 +110,49 @@ def test_nulls_blanks_repeats_and_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(r) for r in near_copies.keep_first(docs).collect()), key=str) == expected(rows)
     assert near_copies.keep_first(docs.limit(0)).count() == 0
+
+
+def pairs_within(fps, bits):
+    return {(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= bits}
+
+
+def test_blocks_bring_together_all_within_their_radius(spark):
+    assert [near_copies.blocks_for(n) for n in (0, 1 << 20, 1 << 21, 1 << 24, 1 << 40)] == [12, 12, 10, 9, 4]
+    rng = random.Random(6)
+    fps = []
+    for _ in range(60):  # around each, fingerprints at every distance up to 20 bits
+        base = rng.getrandbits(64)
+        fps += [base, *(base ^ sum(1 << b for b in rng.sample(range(64), far)) for far in range(1, 21))]
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    sets = stash(spark.createDataFrame([(k, 100, f) for k, f in enumerate(signed)], "key long, n int, fp long"), "sets")
+    for blocks in (4, 6, 9, 12):
+        got = {tuple(r) for r in near_copies.near_by_blocks(sets, blocks).collect()}
+        assert pairs_within(fps, blocks - 2) <= got <= pairs_within(fps, near_copies.NEAR)
+
+
+def test_crowded_bucket_hangs_together():
+    rng = np.random.default_rng(7)
+    base, m = rng.integers(0, 1 << 63, dtype=np.uint64), near_copies.BLOCK + 300
+    fps = np.array([base ^ np.uint64(1 << int(b)) for b in rng.integers(0, 63, m)], np.uint64)
+    a, b = map(np.concatenate, near_copies.near_in_bucket(np.arange(m), np.full(m, 100), fps))
+    assert len(a) <= m and (a < b).all() and set(brute.joined(m, list(zip(a.tolist(), b.tolist())))) == {0}
+
+
+def test_fingerprints_alone_find_near_copies(spark, monkeypatch):
+    """Without the meetings in shingles the pairs that their fingerprints bring together are still found, and only similar ones are linked."""
+    monkeypatch.setattr(near_copies, "prefix", lambda hashes, known, counts: hashes[:0])
+    rng = random.Random(8)
+    rows = []
+    for d in range(0, 400, 2):
+        words = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        rows += [(d, " ".join(words)), (d + 1, " ".join(edited(rng, words, 8)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in near_copies.keep_first(docs).collect()}
+    hashes = [near_copies.shingle_set(t.encode()) for _, t in rows]
+    fps = [near_copies.set_fingerprint(h) & (1 << 64) - 1 for h in hashes]
+    for d in range(0, 400, 2):
+        far = (fps[d] ^ fps[d + 1]).bit_count()
+        alike = near_copies.similar(hashes[d], hashes[d + 1])
+        assert d in kept and (d + 1 in kept or alike)
+        assert not alike or far > near_copies.MOST_BLOCKS - 2 or d + 1 not in kept
+    assert len(kept) < 300
