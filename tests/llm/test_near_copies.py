@@ -5,6 +5,7 @@ import numpy as np
 import corpus_pipeline
 from driftwell.llm import meetings, near_copies
 from driftwell.llm.common import stash
+from pyspark.sql import functions as F
 
 from . import brute
 
@@ -156,3 +157,30 @@ def test_fingerprints_alone_find_near_copies(spark, monkeypatch):
         assert d in kept and (d + 1 in kept or alike)
         assert not alike or far > near_copies.MOST_BLOCKS - 2 or d + 1 not in kept
     assert len(kept) < 300
+
+
+def test_pairs_of_a_large_group_grow_with_its_members(spark):
+    """A family of near fingerprints: nearly all of its pairs meet in some bucket, but only some for each member are rows."""
+    rng = np.random.default_rng(9)
+    per_member = []
+    for m in (100, 400):
+        fps = rng.integers(0, 1 << 63, dtype=np.uint64) ^ np.array([sum(1 << int(b) for b in rng.choice(63, 5, replace=False)) for _ in range(m)], np.uint64)
+        sets = stash(spark.createDataFrame([(k, 100, f) for k, f in enumerate(fps.view(np.int64).tolist())], "key long, n int, fp long"), "sets")
+        got = [tuple(r) for r in near_copies.near_by_blocks(sets, 12).collect()]
+        assert len(set(got)) == len(got) and set(got) <= pairs_within(fps.tolist(), near_copies.NEAR)
+        assert set(brute.joined(m, got)) == {0}
+        per_member.append(len(got) / m)
+    assert max(per_member) <= near_copies.SMALL
+
+
+def test_sieve_keeps_what_is_asked(spark, monkeypatch):
+    rows = stash(spark.range(50_000).select((F.col("id") * 7 + (F.col("id") % 5) * (1 << 33)).alias("_at"), F.lit("t").alias("text")), "rows")
+    asked = stash(rows.filter("_at % 11 = 0").select("_at"), "asked")
+    want = {r[0] for r in asked.collect()}
+    for most, others in ((1 << 25, 0.1), (1 << 15, 1)):  # a sieve too small lets others through, and loses none
+        monkeypatch.setattr(near_copies, "MOST_SIEVE", most)
+        out = near_copies.sifted(rows, asked)
+        got = [r[0] for r in out.collect()]
+        assert out.columns == rows.columns and len(set(got)) == len(got) and want <= set(got)
+        assert len(got) - len(want) <= others * (50_000 - len(want))
+    assert near_copies.sifted(rows, asked.limit(0)).count() == 0
