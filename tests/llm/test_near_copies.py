@@ -184,3 +184,12 @@ def test_sieve_keeps_what_is_asked(spark, monkeypatch):
         assert out.columns == rows.columns and len(set(got)) == len(got) and want <= set(got)
         assert len(got) - len(want) <= others * (50_000 - len(want))
     assert near_copies.sifted(rows, asked.limit(0)).count() == 0
+
+
+def test_only_sifted_rows_are_shuffled(spark):
+    rows = stash(spark.range(1000).select(F.col("id").alias("_at"), F.lit("t").alias("text")), "rows")
+    asked = stash(rows.filter("_at % 11 = 0").select("_at"), "asked")
+    out = near_copies.picked(rows, asked)
+    assert {r[0] for r in out.collect()} == {r[0] for r in asked.collect()} and out.columns == rows.columns
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("SortMergeJoin") < plan.index("BroadcastHashJoin")  # the sieve stands below the join that shuffles
