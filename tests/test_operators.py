@@ -184,6 +184,33 @@ class TestCheck:
         full = check.compared(src, dst, meta, "full").filter("kind <> 'same'")
         assert got(full.select("k", "kind")) == got(check.by_digest(src, dst, meta, "full").select("k", "kind"))
 
+    def test_rows_that_repeat_a_key_are_shuffled_once(self, spark):
+        import random
+
+        rng = random.Random(5)
+        one = lambda n: [(rng.randrange(6), rng.choice([0.5, float("nan"), None]), rng.choice(["a", "b", None])) for _ in range(n)]
+        src, dst = one(60), one(40)
+        frame = lambda rows, kinds="k long, x double, y string": spark.createDataFrame(rows, kinds)
+        order = lambda r: [(v is not None, v != v, 0 if v != v else v or 0) if c < 2 else (v is not None, v or "") for c, v in enumerate(r)]
+        plain = lambda v: "nan" if v != v else v
+        want = []
+        for k in range(6):
+            a, b = (sorted((r for r in rows if r[0] == k), key=order) for rows in (src, dst))
+            for n in range(max(len(a), len(b))):
+                kind = "stale" if n >= len(a) else "miss" if n >= len(b) else "same" if list(map(plain, a[n])) == list(map(plain, b[n])) else "diff"
+                want.append((k, kind, n < len(a)))
+        meta = TableMeta("s", "t", ("k", "x", "y"), unique=(("k",),))
+        for other in ("k long, x double, y string", "k int, x double, y string"):
+            for how in ("left", "full"):
+                out = check.compared(frame(src), frame(dst, other), meta, how, consume=True)
+                assert sorted((r.k, r.kind) for r in out.collect()) == sorted((k, kind) for k, kind, own in want if own or how == "full")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            plan = check.compared(frame(src), frame(dst), meta, consume=True).groupBy("k", "kind").count()._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
     def test_log_line(self, spark):
         src = spark.createDataFrame([(1, 'q"\\', None)], "k long, `a\"b` string, z int")
         dst = spark.createDataFrame([(1, "x", 3)], "k long, `a\"b` string, z int")
