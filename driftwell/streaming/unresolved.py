@@ -1,6 +1,7 @@
 """Keys that a continuous check has found wrong and not yet found right.
 
 The state of a key is its last finding; a later one replaces it, and ``same`` clears it, so state holds unresolved keys only.
+Of findings with one ``seq``, as where a side holds two rows of a key, one that isn't ``same`` counts, the last by name.
 """
 
 from __future__ import annotations
@@ -19,13 +20,18 @@ OUT = "key string, kind string, seq long"
 STATE = "kind string, seq long"
 
 
+def _rank(kind: str) -> tuple:
+    return kind != "same", kind
+
+
 def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     kind, seq = state.get if state.exists else (None, -1)
     before = (kind, seq)
     for rows in batches:
-        newest = rows.loc[rows["seq"].idxmax()]
-        if int(newest["seq"]) > seq:
-            kind, seq = str(newest["kind"]), int(newest["seq"])
+        newest = rows[rows["seq"] == rows["seq"].max()]
+        at, found = int(newest["seq"].iloc[0]), max(map(str, newest["kind"]), key=_rank)
+        if at > seq or at == seq and kind is not None and _rank(found) > _rank(kind):
+            kind, seq = found, at
     if kind in (None, "same"):
         if state.exists:
             state.remove()
@@ -59,5 +65,5 @@ def rechecked(state: DataFrame, src: DataFrame, dst: DataFrame, meta: TableMeta,
 
 def current(changes: DataFrame) -> DataFrame:
     """The unresolved keys, from all changes of state so far."""
-    last = changes.groupBy("key").agg(F.max_by(F.struct("kind", "seq"), "seq").alias("s")).select("key", "s.*")
-    return last.filter("kind <> 'same'")
+    last = changes.groupBy("key").agg(F.max(F.struct("seq", F.col("kind") != "same", "kind")).alias("s")).select("key", "s.kind", "s.seq")
+    return last.filter("kind <> 'same' AND seq IS NOT NULL")

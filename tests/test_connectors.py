@@ -119,6 +119,23 @@ def test_a_cluster_needs_a_shared_folder(spark):
         shared.scratch(Session(), "x")
 
 
+def test_a_key_with_a_right_and_a_wrong_row_stays_unresolved(spark, tmp_path):
+    src = spark.createDataFrame([(k, "a") for k in range(20)], "k long, v string")
+    dst = src.unionByName(src.filter("k < 12").withColumn("v", F.lit("b")))
+    state = src.select(unresolved.key_text(META).alias("key"), F.lit("diff").alias("kind"), F.lit(1).cast("long").alias("seq"))
+    want = sorted((f'{{"k":{k}}}', "diff", 2) for k in range(12))
+    found = unresolved.rechecked(state, src, dst, META, 2)
+    for rows in (found.orderBy("kind"), found.orderBy(F.desc("kind"))):
+        assert got(unresolved.current(state.unionByName(rows.coalesce(1)))) == want
+    for n, order in enumerate([F.col("kind"), F.desc("kind")]):
+        at = f"{tmp_path}/{n}"
+        found.coalesce(1).sortWithinPartitions(order).write.parquet(f"{at}/in")
+        stream = unresolved.follow(spark.readStream.schema(found.schema).parquet(f"{at}/in"))
+        put = lambda batch, k, at=at: batch.write.mode("append").parquet(f"{at}/out")
+        stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        assert got(unresolved.current(spark.read.parquet(f"{at}/out"))) == want
+
+
 class TestDatabase:
     KIND = "struct<k:long,v:string>"
 
